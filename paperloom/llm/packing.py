@@ -10,6 +10,7 @@ group is then taken apart and packed in the next round with those of the other g
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
@@ -102,6 +103,24 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     return empty_bins(best_fit(sizes, capacity), sizes, capacity)
 
 
+def _packer(level: int, last: bool, capacity: int, id_col: str) -> Callable:
+    """What packs one group; unless it is the last, its emptiest bin's items are marked to be packed again."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["size", "row_id", "piece_no"], ignore_index=True)
+        bins = pack(pdf["size"].tolist(), capacity)
+        sizes = pdf["size"].to_numpy()
+        emptiest = None if last else min(range(len(bins)), key=lambda b: sizes[bins[b]].sum())
+        where, again = [""] * len(pdf), [False] * len(pdf)
+        for b, own in enumerate(bins):
+            for i in own:
+                where[i] = f"{level}-{key[0]}-{b}"
+                again[i] = b == emptiest
+        return pdf.assign(container_id=where, again=again)[["container_id", id_col, "row_id", "piece_no", "start_at", "size", "again"]]
+
+    return run
+
+
 def fill_containers(items: DataFrame, id_col: str, size_col: str, capacity: int, group: int = GROUP) -> DataFrame:
     """(container_id string, id, piece_no int, start_at bigint, size bigint): a place for every item.
 
@@ -130,22 +149,10 @@ def fill_containers(items: DataFrame, id_col: str, size_col: str, capacity: int,
         groups = -(-n // group)
         schema = f"container_id string, `{id_col}` {kind}, row_id bigint, piece_no int, start_at bigint, size bigint, again boolean"
 
-        def run(key, pdf: pd.DataFrame, level=level, last=groups == 1) -> pd.DataFrame:
-            pdf = pdf.sort_values(["size", "row_id", "piece_no"], ignore_index=True)
-            bins = pack(pdf["size"].tolist(), capacity)
-            sizes = pdf["size"].to_numpy()
-            emptiest = None if last else min(range(len(bins)), key=lambda b: sizes[bins[b]].sum())
-            where, again = [""] * len(pdf), [False] * len(pdf)
-            for b, own in enumerate(bins):
-                for i in own:
-                    where[i] = f"{level}-{key[0]}-{b}"
-                    again[i] = b == emptiest
-            return pdf.assign(container_id=where, again=again)[["container_id", id_col, "row_id", "piece_no", "start_at", "size", "again"]]
-
         packed = stage(
             todo.withColumn("g", F.pmod(F.xxhash64("row_id", "piece_no", F.lit(level)), F.lit(groups)))
             .groupBy("g")
-            .applyInPandas(run, schema)
+            .applyInPandas(_packer(level, groups == 1, capacity, id_col), schema)
         )
         read.append(packed)
         done.append(packed.filter(~F.col("again")).select("container_id", *columns))
