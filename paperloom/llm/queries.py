@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm.conversations import conversations, dropped_conversations
 from paperloom.llm.packing import pack_documents
+from paperloom.llm.sentences import split_sentences
 from paperloom.llm.splitting import oversized_items, split_tables
 from paperloom.llm.tokens import encode_texts
 from paperloom.session import table
@@ -41,9 +42,14 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentences of every document."""
+    return split_sentences(table(spark, folder, "documents"))
+
+
 def queries() -> dict:
     """The queries of this subpackage."""
-    own = (p2_found, p2_conversations, p5_found, p5_pieces, p6_ids, p7_containers)
+    own = (p2_found, p2_conversations, p5_found, p5_pieces, p6_ids, p7_containers, p8_found)
     return {f.__name__: f for f in own}
 
 
