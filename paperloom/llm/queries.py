@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from paperloom.llm.conversations import conversations, dropped_conversations
 from paperloom.llm.packing import pack_documents
 from paperloom.llm.sentences import split_sentences
+from paperloom.llm.spellings import spelling_pairs
 from paperloom.llm.splitting import oversized_items, split_tables
 from paperloom.llm.tokens import encode_texts
 from paperloom.session import table
@@ -22,6 +23,11 @@ def p2_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations(table(spark, folder, "research_message"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of spellings of one person or one venue."""
+    return spelling_pairs(table(spark, folder, "paper"), table(spark, folder, "name_form"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Items over the limit."""
     return oversized_items(split_tables(table(spark, folder, "paper_layout_artifact"), table(spark, folder, "paper_memory"), with_text=False))
@@ -49,7 +55,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     """The queries of this subpackage."""
-    own = (p2_found, p2_conversations, p5_found, p5_pieces, p6_ids, p7_containers, p8_found)
+    own = (p2_found, p2_conversations, p3_found, p5_found, p5_pieces, p6_ids, p7_containers, p8_found)
     return {f.__name__: f for f in own}
 
 
