@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of ``paperloom.plans`` that have queries.
-MODULES = ["hierarchy", "nested", "library", "sessions"]
+MODULES = ["hierarchy", "nested", "library", "sessions", "quality"]
 
 
 def queries() -> dict:
