@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed value: a run of one script; tokens are runs of more than one character.
 RUNS = r"[\p{IsHan}]+|[\p{IsLatin}\p{N}_-]+|[\p{IsGreek}\p{N}]+"
@@ -19,13 +20,13 @@ HEADING = r"^(?:(?:[IVXLC]+|\d+(?:\.\d+)*)\.?\s+\p{Lu}.*|(?i:appendix)(?:\s+[A-Z
 MATH = r"[=<>±×÷∑∫√∞≈≤≥^_{}\[\]|]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition; null stays null."""
     return text.map(lambda s: s if s is None else unicodedata.normalize("NFKC", s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """HTML entities, named and numeric, as characters."""
     return text.map(lambda s: s if s is None else html.unescape(s))
@@ -142,3 +143,8 @@ def duration(seconds: Column) -> Column:
     """Hours and minutes, as 2h 05m or 7m."""
     h, m = F.floor(seconds / 3600), F.floor(F.pmod(seconds, F.lit(3600)) / 60)
     return F.when(h > 0, F.format_string("%dh %02dm", h, m)).otherwise(F.format_string("%dm", m))
+
+
+def first_nonempty(*columns: Column) -> Column:
+    """The first column that isn't null or empty."""
+    return F.coalesce(*[F.when(c != "", c) for c in columns])

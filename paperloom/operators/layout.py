@@ -114,6 +114,16 @@ def section_parents(sections: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.withColumn("parent_id", F.greatest(*lower)["section_id"]).drop(*[f"_l{n}" for n in range(1, 10)])
 
 
+def geometric_order(blocks: DataFrame) -> DataFrame:
+    """Valid blocks with their place (from 1) in the order of reading that their boxes give, page after page."""
+    boxed = blocks.filter(G.valid(G.box())).withColumn("lane", G.lane(F.col("page"), G.box()))
+    down = Window.partitionBy("artifact_id", "page").orderBy("y", "x", "block_id").rowsBetween(Window.unboundedPreceding, 0)
+    region = F.sum(F.when(F.col("lane") == "FULL", 1).otherwise(0)).over(down)
+    rank = F.when(F.col("lane") == "FULL", 0).when(F.col("lane") == "LEFT", 1).otherwise(2)
+    order = Window.partitionBy("artifact_id").orderBy("page", "region", "rank", "y", "x", "block_id")
+    return boxed.withColumn("region", region).withColumn("rank", rank).withColumn("place", F.row_number().over(order)).drop("rank")
+
+
 #: Limits of a span.
 SPAN_BLOCKS, SPAN_CHARACTERS = 12, 1600
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import geometry as G
@@ -11,8 +11,15 @@ from paperloom.operators import layout as L
 from paperloom.operators import rows as R
 from paperloom.session import table
 
-TEXT = F.length(F.trim("text")) > 0
-NARRATIVE = F.col("role").isin("BODY", "ABSTRACT")
+
+def has_text() -> Column:
+    """Whether a block has text."""
+    return F.length(F.trim("text")) > 0
+
+
+def narrative() -> Column:
+    """Whether a block is of the running text."""
+    return F.col("role").isin("BODY", "ABSTRACT")
 
 
 def artifacts(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,7 +53,7 @@ def doc_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Confidence, regions without text and blank blocks per artifact, with the list of what is wrong."""
     q = blocks(spark, folder).groupBy("artifact_id").agg(
         F.count("*").alias("blocks"), F.round(F.avg("confidence"), 6).alias("confidence"), F.count_if(F.col("confidence") < 0.5).alias("doubtful"),
-        F.count_if(F.col("mode") == "REGION").alias("regions"), F.count_if(~TEXT).alias("blank"),
+        F.count_if(F.col("mode") == "REGION").alias("regions"), F.count_if(~has_text()).alias("blank"),
     )
     issues = F.array_join(F.array_compact(F.array(F.when(F.col("confidence") < 0.62, "LOW_CONFIDENCE"), F.when(F.col("regions") * 2 > F.col("blocks"), "MOSTLY_REGIONS"), F.when(F.col("blank") > 0, "BLANK_BLOCKS"))), ",")
     return q.withColumn("issues", issues)
@@ -113,7 +120,7 @@ def doc_headings(spark: SparkSession, folder: str) -> DataFrame:
     """Every narrative block with the heading it stands under: forward fill in reading order."""
     w = Window.partitionBy("artifact_id").orderBy("ord", "block_id").rowsBetween(Window.unboundedPreceding, 0)
     b = blocks(spark, folder).withColumn("heading_id", F.last(F.when(F.col("role") == "HEADING", F.col("block_id")), ignorenulls=True).over(w))
-    return b.filter(NARRATIVE).select("artifact_id", "block_id", "heading_id")
+    return b.filter(narrative()).select("artifact_id", "block_id", "heading_id")
 
 
 def doc_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,7 +141,7 @@ def doc_owners(spark: SparkSession, folder: str) -> DataFrame:
 
 def doc_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """Each table with the nearest narrative blocks around it."""
-    return L.neighbours(blocks(spark, folder), F.col("role") == "TABLE", NARRATIVE & TEXT)
+    return L.neighbours(blocks(spark, folder), F.col("role") == "TABLE", narrative() & has_text())
 
 
 def doc_overlaps(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,7 +172,7 @@ def doc_selection(spark: SparkSession, folder: str) -> DataFrame:
 def doc_copies(spark: SparkSession, folder: str) -> DataFrame:
     """Every block with the class of blocks of the same text in its paper (case and white space aside): the class is a
     hash, the one kept is the most confident, then the longest, then the least id."""
-    b = blocks(spark, folder).filter(TEXT)
+    b = blocks(spark, folder).filter(has_text())
     key = F.concat(F.lit("ev_"), F.substring(F.sha2(F.concat_ws("|", F.col("paper_id").cast("string"), T.collapsed(F.lower("text"))), 256), 1, 24))
     keyed = b.select(key.alias("key"), "artifact_id", "block_id", "confidence", F.length("text").alias("n"))
     classes = keyed.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct((-F.col("confidence")).alias("c"), (-F.col("n")).alias("l"), "artifact_id", "block_id")).alias("kept"))
@@ -187,6 +194,12 @@ def doc_families(spark: SparkSession, folder: str) -> DataFrame:
     return labels.groupBy("artifact_id", F.regexp_extract("label", r"^(\d+)", 1).alias("base")).agg(F.count("*").alias("members"), F.min("label").alias("first_label"), F.max("label").alias("last_label"))
 
 
+def doc_reading_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every valid block by geometry: blocks over the whole width part a page into regions; within one
+    the left lane is read before the right, each from the top."""
+    return L.geometric_order(blocks(spark, folder)).select("artifact_id", "block_id", "place")
+
+
 def doc_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of all artifacts."""
     return L.spans(blocks(spark, folder))
@@ -195,7 +208,7 @@ def doc_spans(spark: SparkSession, folder: str) -> DataFrame:
 def doc_render(spark: SparkSession, folder: str) -> DataFrame:
     """Each artifact's text with a marker before every content block, as length and hash."""
     line = F.concat(F.lit("["), "block_id", F.lit(", "), F.col("page").cast("string"), F.lit(", "), "role", F.lit("] "), "text")
-    b = blocks(spark, folder).filter(~F.col("role").isin(["FOOTER", *L.FURNITURE]) & TEXT)
+    b = blocks(spark, folder).filter(~F.col("role").isin(["FOOTER", *L.FURNITURE]) & has_text())
     lines = b.groupBy("artifact_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "block_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("t"))
     return lines.select("artifact_id", F.length("t").cast("bigint").alias("characters"), F.sha2("t", 256).alias("hash"))
 
@@ -219,7 +232,7 @@ def doc_uncertain(spark: SparkSession, folder: str) -> DataFrame:
 def doc_continuations(spark: SparkSession, folder: str) -> DataFrame:
     """Edges from the last narrative block of a page to the first of the next, if the former ends no sentence: sure if
     the latter begins in lower case."""
-    b = blocks(spark, folder).filter(NARRATIVE & TEXT)
+    b = blocks(spark, folder).filter(narrative() & has_text())
     w = Window.partitionBy("artifact_id").orderBy("ord", "block_id")
     pairs = b.withColumn("p", F.lag(F.struct("block_id", "page", "text")).over(w)).filter("page = p.page + 1").filter(~T.ends_sentence(F.col("p.text")))
     return pairs.select("artifact_id", F.col("p.block_id").alias("from_id"), F.col("block_id").alias("to_id"), F.when(F.col("text").rlike(r"^\s*\p{Ll}"), 0.92).otherwise(0.76).alias("confidence"))
@@ -375,6 +388,8 @@ SELECT artifact_id, block_id, key, count(*) OVER (PARTITION BY key) AS copies, r
 SELECT paper_id, kind, number, count(*) AS blocks, count(DISTINCT artifact_id) AS artifacts FROM r GROUP BY ALL""",
         "doc_families": f"""WITH {_B}, l AS (SELECT DISTINCT artifact_id, unnest(regexp_extract_all(text || ' ' || latex, '\\((\\d{{1,4}}[a-z]?)\\)', 1)) AS label FROM blocks)
 SELECT artifact_id, regexp_extract(label, '^(\\d+)', 1) AS base, count(*) AS members, min(label) AS first_label, max(label) AS last_label FROM l GROUP BY ALL""",
+        "doc_reading_order": f"""WITH {_B}, r AS (SELECT *, sum(CASE WHEN lane = 'FULL' THEN 1 ELSE 0 END) OVER (PARTITION BY artifact_id, page ORDER BY y, x, block_id ROWS UNBOUNDED PRECEDING) AS region FROM boxed WHERE valid)
+SELECT artifact_id, block_id, CAST(row_number() OVER (PARTITION BY artifact_id ORDER BY page, region, CASE lane WHEN 'FULL' THEN 0 WHEN 'LEFT' THEN 1 ELSE 2 END, y, x, block_id) AS INTEGER) AS place FROM r""",
         "doc_render": f"""WITH {_B}, t AS (SELECT artifact_id, string_agg('[' || block_id || ', ' || page || ', ' || role || '] ' || text, chr(10) ORDER BY ord, block_id) AS t FROM blocks
   WHERE role NOT IN ('FOOTER', 'HEADER', 'MARGIN_METADATA') AND length(trim(text, ' ')) > 0 GROUP BY artifact_id) SELECT artifact_id, length(t) AS characters, sha256(t) AS hash FROM t""",
         "doc_mode": f"""WITH {_B}, s AS (SELECT artifact_id, CAST(sum(length(text)) AS BIGINT) AS characters, count(*) FILTER (mode = 'REGION') AS regions, count(*) AS n FROM blocks GROUP BY 1)

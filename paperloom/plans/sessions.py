@@ -13,8 +13,10 @@ from paperloom.operators import rows as R
 from paperloom.operators.sequences import islands, lag_values, number_rows, scan_groups
 from paperloom.session import table
 
-#: Order of messages: by time, rows without one last, then id.
-ORDER = [F.col("created_at").asc_nulls_last(), F.col("id").asc()]
+
+def in_time() -> list[Column]:
+    """Order of messages: by time, rows without one last, then id."""
+    return [F.col("created_at").asc_nulls_last(), F.col("id").asc()]
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,7 +67,7 @@ def ses_semantic(spark: SparkSession, folder: str) -> DataFrame:
 def ses_turns(spark: SparkSession, folder: str) -> DataFrame:
     """(session_id, turn, user_rows, assistant_rows, characters): a user row opens a turn and assistant rows join it;
     turns that no assistant answered, and rows before the first turn, are left out."""
-    m = islands(chat(spark, folder), ["session_id"], ORDER, F.col("role") == "USER", "turn")
+    m = islands(chat(spark, folder), ["session_id"], in_time(), F.col("role") == "USER", "turn")
     turns = m.filter("turn > 0").groupBy("session_id", "turn").agg(
         F.count_if(F.col("role") == "USER").alias("user_rows"), F.count_if(F.col("role") == "ASSISTANT").alias("assistant_rows"), F.sum(F.length("content")).cast("bigint").alias("characters")
     )
@@ -80,7 +82,7 @@ def ses_recent_turns(spark: SparkSession, folder: str) -> DataFrame:
 def ses_running(spark: SparkSession, folder: str) -> DataFrame:
     """Characters up to and with each message of its session, and the longest message so far."""
     m = messages(spark, folder).select("session_id", "id", "created_at", F.coalesce(F.length("content"), F.lit(0)).cast("bigint").alias("characters"))
-    out = scan_groups(m, ["session_id"], ORDER, {"before": ("sum", F.col("characters")), "most": ("max", F.col("characters"))})
+    out = scan_groups(m, ["session_id"], in_time(), {"before": ("sum", F.col("characters")), "most": ("max", F.col("characters"))})
     return out.select("session_id", "id", (F.coalesce("before", F.lit(0)) + F.col("characters")).alias("running"), F.greatest("most", "characters").alias("longest"))
 
 
@@ -95,7 +97,7 @@ def ses_budget(spark: SparkSession, folder: str) -> DataFrame:
 def ses_gaps(spark: SparkSession, folder: str) -> DataFrame:
     """Per session: sittings (a gap over 30 minutes starts one) and the longest pause in whole seconds."""
     m = messages(spark, folder).filter("created_at is not null").select("session_id", "id", "created_at")
-    out = lag_values(m, ["session_id"], ORDER, {"previous": "created_at"})
+    out = lag_values(m, ["session_id"], in_time(), {"previous": "created_at"})
     pause = F.timestamp_diff("SECOND", F.col("previous"), F.col("created_at"))
     return out.groupBy("session_id").agg((1 + F.count_if(pause > 1800)).alias("sittings"), F.max(pause).alias("longest_pause"))
 
