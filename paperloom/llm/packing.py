@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from paperloom.llm.tokens import count_tokens
 from paperloom.staging import stage
 
-#: Items that one task packs, as many as keep its bins well mixed and its memory small.
-GROUP = 20_000
+#: Items, and containers' worth of items, that one task packs: enough to mix well, few enough to search all pairs of bins.
+GROUP, GROUP_BINS = 20_000, 1_000
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -73,28 +73,30 @@ def _best_exchange(a: list[int], b: list[int], sizes: list[int], fill_a: int, fi
 def empty_bins(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """The bins after the search; never more of them, and none over its capacity."""
     fills = [sum(sizes[i] for i in b) for b in bins]
-    order = sorted(range(len(bins)), key=lambda b: fills[b])
-    alive = set(order)
-    for a in order:
-        if capacity * len(alive) - sum(fills[b] for b in alive) < capacity:
-            break
-        improved = True
-        while bins[a] and improved:
-            improved = False
-            # the fullest bins first: what they take gains the most
-            for b in sorted((x for x in alive if x != a and fills[x] < capacity and fills[x] >= fills[a]), key=lambda x: -fills[x]):
-                gain, outs, backs = _best_exchange(bins[a], bins[b], sizes, fills[a], fills[b], capacity - fills[b])
-                if gain:
-                    bins[a] = [i for i in bins[a] if i not in outs] + list(backs)
-                    bins[b] = [i for i in bins[b] if i not in backs] + list(outs)
-                    shift = sum(sizes[i] for i in outs) - sum(sizes[i] for i in backs)
-                    fills[a] -= shift
-                    fills[b] += shift
-                    improved = True
-                    if not bins[a]:
-                        break
-        if not bins[a]:
-            alive.discard(a)
+    alive = set(range(len(bins)))
+    again = True
+    while again:  # an exchange may make room for what was passed by; the squares grow with each, so this ends
+        again = False
+        for a in sorted(alive, key=lambda b: fills[b]):
+            if capacity * len(alive) - sum(fills[b] for b in alive) < capacity:
+                break
+            improved = True
+            while bins[a] and improved:
+                improved = False
+                # the fullest bins first: what they take gains the most
+                for b in sorted((x for x in alive if x != a and fills[x] < capacity and fills[x] >= fills[a]), key=lambda x: -fills[x]):
+                    gain, outs, backs = _best_exchange(bins[a], bins[b], sizes, fills[a], fills[b], capacity - fills[b])
+                    if gain:
+                        bins[a] = [i for i in bins[a] if i not in outs] + list(backs)
+                        bins[b] = [i for i in bins[b] if i not in backs] + list(outs)
+                        shift = sum(sizes[i] for i in outs) - sum(sizes[i] for i in backs)
+                        fills[a] -= shift
+                        fills[b] += shift
+                        improved = again = True
+                        if not bins[a]:
+                            break
+            if not bins[a]:
+                alive.discard(a)
     return [bins[b] for b in range(len(bins)) if bins[b]]
 
 
@@ -141,12 +143,13 @@ def fill_containers(items: DataFrame, id_col: str, size_col: str, capacity: int,
         F.concat_ws("-", F.lit("whole"), "row_id", "piece_no").alias("container_id"), *columns
     )
     todo = pieces.filter(F.col("size") < capacity)
-    done, read = [whole], []
-    n = todo.count()
+    done = [whole]
+    measure = [F.count("*"), F.coalesce(F.sum("size"), F.lit(0))]
+    n, total = todo.agg(*measure).first()
     for level in range(64):
         if not n:
             break
-        groups = -(-n // group)
+        groups = max(-(-n // group), -(-total // (capacity * GROUP_BINS)))
         schema = f"container_id string, `{id_col}` {kind}, row_id bigint, piece_no int, start_at bigint, size bigint, again boolean"
 
         packed = stage(
@@ -154,12 +157,11 @@ def fill_containers(items: DataFrame, id_col: str, size_col: str, capacity: int,
             .groupBy("g")
             .applyInPandas(_packer(level, groups == 1, capacity, id_col), schema)
         )
-        read.append(packed)
         done.append(packed.filter(~F.col("again")).select("container_id", *columns))
         todo = packed.filter("again").drop("container_id", "again")
         if groups == 1:
             break
-        n = todo.count()
+        n, total = todo.agg(*measure).first()
     return reduce(DataFrame.unionByName, done)
 
 

@@ -32,9 +32,11 @@ HARD = 8.0
 STICKY = re.compile(r"[̀-ͯऀ-ःऺ-ॏัิ-ฺ็-๎ً-ٟ‌‍︀-️⃐-⃿\U0001f3fb-\U0001f3ff]|(?<=\r)\n")
 
 
-def boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions where ``text`` may be cut, ascending and without its ends, and what each costs."""
+def boundaries(text: str, fresh: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions where ``text`` may be cut, ascending and without its ends, and what each costs. ``fresh`` is the
+    longest new text of a piece; no two neighbouring positions are farther apart."""
     n = len(text)
+    reach = min(REACH, max(1, fresh // 4))
     cost: dict[int, float] = {}
     stretches = [(0, n)]
     for price, pattern in LEVELS:
@@ -44,9 +46,9 @@ def boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
             for e in found:
                 cost.setdefault(e, price)
             ends = [a, *found, b]
-            rest += [(x, y) for x, y in zip(ends, ends[1:]) if y - x > REACH]
+            rest += [(x, y) for x, y in zip(ends, ends[1:]) if y - x > reach]
         stretches = rest
-    step = max(1, min(REACH, limit) // 8)
+    step = max(1, reach // 8)
     for a, b in stretches:
         for x in range(a + step, b, step):
             back = x
@@ -65,7 +67,7 @@ def split_points(text: str, limit: int = 1200, overlap: int = 100) -> list[tuple
         return [(0, n)] if n else []
     fresh = limit - overlap
     even = n / (1 + -(-(n - limit) // fresh))
-    at, price = boundaries(text, limit)
+    at, price = boundaries(text, fresh)
     keep = at >= overlap
     at, price = np.concatenate(([0], at[keep], [n])), np.concatenate(([0.0], price[keep], [0.0]))
     best, back = np.full(len(at), np.inf), np.zeros(len(at), np.int64)
