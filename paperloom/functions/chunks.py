@@ -120,7 +120,9 @@ def transcribe(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def clean_latex(c: Column) -> Column:
     """LaTeX without fences, delimiters and control characters; null if nothing or more than 4 000 characters is left."""
     bare = F.regexp_replace(F.regexp_replace(c, r"```[a-z]*", ""), r"[\x{00}-\x{08}\x{0B}-\x{1F}\x{7F}]", "")
-    bare = F.trim(F.regexp_replace(F.trim(bare), r"^(?:\$\$?|\\\[|\\\()|(?:\$\$?|\\\]|\\\))$", ""))
+    ends = r"^\s+|\s+$"
+    bare = F.regexp_replace(F.regexp_replace(bare, ends, ""), r"^(?:\$\$?|\\\[|\\\()|(?:\$\$?|\\\]|\\\))$", "")
+    bare = F.regexp_replace(bare, ends, "")
     return F.when((F.length(bare) > 0) & (F.length(bare) <= 4000), bare)
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, bytes, fingerprint): files with their SHA-256; the content is hashed where it is read and not kept."""
+    """(path, bytes, fingerprint): files with their SHA-256; the content is hashed where it is read and not kept. The
+    reader gives no row for an empty file."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("fingerprint"))
 
