@@ -86,7 +86,8 @@ _LINES = "\n\r\x85\u2028\u2029"
 _FIRST = "".join(dict.fromkeys(MARKS + "".join(PAIRS) + "".join(PAIRS.values()) + _LINES))
 #: The characters that symbols start with; ";" and spaces only where Greek or Thai occurs.
 _EVENT, _EVENT_ALL = re.compile(f"[{re.escape(_FIRST)}]"), re.compile(f"[{re.escape(_FIRST)}; \t\xa0]")
-_RARE = re.compile("[Ͱ-Ͽἀ-῿];|[฀-๿]")
+_RARE = re.compile("[Ͱ-Ͽἀ-῿]{3}|[฀-๿]")
+_GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
 _RUN = re.compile(f"[{re.escape(MARKS)}]+")
 _BREAK = re.compile(rf"(?P<blank>{_LINE}[^\S{_LINES}]*{_LINE}\s*)|(?P<item>{_LINE}[^\S{_LINES}]*(?={_ITEM}[^\S{_LINES}]))")
 _THAI_SPACE = re.compile(rf"[^\S{_LINES}]+(?=[฀-๿])")
@@ -144,7 +145,7 @@ def _full_stop(text: str, at: int, after: int, item: bool = False) -> bool:
         return not (before and before[1].lower() in ORDINAL and c.isalpha() and c.isupper())
     if low in MAY:
         if low == "al":
-            return item or not (c in "([（" and after + 1 < len(text) and text[after + 1].isdigit())
+            return item or not (c in "(（" and after + 1 < len(text) and text[after + 1].isdigit())
         return not (low in NUMBERED and c.isdigit())
     if low in NEVER or low in NUMBERED or low in TITLES and word[0].isupper():
         return False
@@ -156,7 +157,7 @@ def _full_stop(text: str, at: int, after: int, item: bool = False) -> bool:
         if word.islower():
             return low not in LETTERS or (low in "дп" and text[max(0, before_at - 3) : before_at].startswith("т."))
         return bool(_IS_CJK.match(word))
-    if "." in word and all(len(x) == 1 for x in word.split(".")):  # E.U., т.е.
+    if "." in word and all(len(x) == 1 and x.isalpha() for x in word.split(".")):  # E.U., т.е.
         return low in MAY
     return True
 
@@ -187,7 +188,8 @@ def _ends(text: str, start: int, stop: int) -> int:
     if "!" in mark or "?" in mark or mark in "‼⁇⁈⁉":
         if spaced:
             return end if _starts(text, after) else -1
-        return end if cjk or (end > stop and _starts(text, after)) or text[after].isupper() else -1
+        glued = bool(before) and _IS_CJK.match(before) is not None
+        return end if cjk or glued or (end > stop and _starts(text, after)) or text[after].isupper() else -1
     if "…" in mark or len(mark) > 1:
         if cjk or "…" in mark and before and _IS_CJK.match(before):
             return end
@@ -203,6 +205,8 @@ def _ends(text: str, start: int, stop: int) -> int:
         return end if before and (_IS_CJK.match(before) or before in "%％)）]」”\"") or _full_stop(text, start, after) else -1
     # a missing space
     c = text[after]
+    if before and _IS_CJK.match(before) and c.isalnum():
+        return end
     if end > stop:
         return end if _starts(text, after) and _full_stop(text, start, after) else -1
     if c.isupper():
@@ -220,6 +224,11 @@ def _near_cjk(text: str, start: int, after: int) -> bool:
     return bool(_IS_CJK.search(text, max(0, start - 12), start) or _IS_CJK.search(text, after, min(len(text), after + 6)))
 
 
+def _asks(text: str, at: int) -> bool:
+    """Whether the ";" at ``at`` is a Greek question mark: a Greek letter stands before it or Greek words do."""
+    return text[at] == ";" and at > 0 and (_GREEK.match(text, at - 1) is not None or len(_GREEK.findall(text, max(0, at - 40), at)) >= 8)
+
+
 def _line_ended(text: str, at: int) -> bool:
     """Whether the line that ends at ``at`` may be followed by a list item: it ends a sentence, announces a list, or is
     of a script without end marks."""
@@ -234,7 +243,7 @@ def _line_ended(text: str, at: int) -> bool:
         i -= 1
         while i and text[i - 1] in " \xa0 ":
             i -= 1
-    if not i or text[i - 1] not in MARKS and not (text[i - 1] == ";" and "Ͱ" <= text[i - 2 : i - 1] <= "῿"):
+    if not i or text[i - 1] not in MARKS and not _asks(text, i - 1):
         return False
     if text[i - 1] == "." and not (i > 1 and text[i - 2] == "."):
         return _full_stop(text, i - 1, _SPACE.match(text, at).end(), item=True)
@@ -261,7 +270,7 @@ def _ended_inside(text: str, at: int) -> bool:
     i = at
     while i and text[i - 1] in " \xa0 \n\r":
         i -= 1
-    return bool(i) and (text[i - 1] in MARKS or text[i - 1] == ";" and "Ͱ" <= text[i - 2 : i - 1] <= "῿")
+    return bool(i) and (text[i - 1] in MARKS or _asks(text, i - 1))
 
 
 def _after_closer(text: str, stop: int, lead: bool, bracket: bool) -> int:
@@ -278,7 +287,7 @@ def _after_closer(text: str, stop: int, lead: bool, bracket: bool) -> int:
     if c in ".,;:!?。，、；：！？．،؛؟…–—-)]）":
         return -1
     if bracket:
-        return end if lead and _starts(text, after) and (after > end or _IS_CJK.match(c)) else -1
+        return end if lead and _starts(text, after) and (after > end or _IS_CJK.match(c) or _IS_CJK.match(text[stop - 1])) else -1
     if not _starts(text, after):
         return -1
     if c.isalpha() and "぀" <= c <= "ゟ":  # a particle takes the quotation into the sentence
@@ -314,7 +323,7 @@ def transduce(text: str, lo: int, hi: int, state: State, blanks: list[int]) -> t
                 continue
             if c == ".":  # most full stops are settled by what follows
                 d = text[at + 1 : at + 3]
-                if d and (d[0].islower() or d[0].isdigit() or d[0] in ",;"):
+                if d and (d[0].islower() or d[0].isdigit() or d[0] in ",;") and not (at and _IS_CJK.match(text, at - 1)):
                     continue
                 if len(d) == 2 and d[0] == " " and d[1].islower() and not _MIXED.match(text, at + 2):
                     continue
@@ -338,7 +347,7 @@ def transduce(text: str, lo: int, hi: int, state: State, blanks: list[int]) -> t
             space = not stack and at and "\u0e00" <= text[at - 1] <= "\u0e7f" and _THAI_SPACE.match(text, at)
             end = at if space else -1
         elif c == ";":
-            if stack or not (at and "Ͱ" <= text[at - 1] <= "῿"):
+            if stack or not _asks(text, at):
                 continue
             after = _SPACE.match(text, at + 1).end()
             end = at + 1 if after > at + 1 and _starts(text, after) else -1
