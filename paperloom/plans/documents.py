@@ -9,6 +9,7 @@ from paperloom.functions import geometry as G
 from paperloom.functions import text as T
 from paperloom.operators import layout as L
 from paperloom.operators import rows as R
+from paperloom.operators import units as U
 from paperloom.session import table
 
 
@@ -303,6 +304,54 @@ def doc_violations(spark: SparkSession, folder: str) -> DataFrame:
     return L.structure_violations(L.structures(table(spark, folder, "paper_memory")))
 
 
+def doc_read_roles(spark: SparkSession, folder: str) -> DataFrame:
+    """Roles and sections of all blocks, told by their lines and what came before."""
+    return U.each_document(blocks(spark, folder), U.roles, "block_id string, role string, section string")
+
+
+def doc_figures(spark: SparkSession, folder: str) -> DataFrame:
+    """Captions and the lines that continue them, with their figure numbers."""
+    return U.each_document(blocks(spark, folder), lambda b: U.captions(b).items(), "block_id string, number string")
+
+
+def doc_regions(spark: SparkSession, folder: str) -> DataFrame:
+    """Formula regions grown over neighbouring blocks."""
+    return U.each_document(blocks(spark, folder).filter(G.valid(G.box())), U.formula_regions, "region_id string, page int, labels string, blocks int")
+
+
+def doc_equations(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbered equations: where each is displayed and how often it is named."""
+    return U.each_document(blocks(spark, folder).filter(G.valid(G.box())), U.equations, "label string, definition_id string, page int, mentions int")
+
+
+def doc_algorithms(spark: SparkSession, folder: str) -> DataFrame:
+    """Algorithms with their blocks."""
+    return U.each_document(blocks(spark, folder).filter(G.valid(G.box())), U.algorithms, "unit string, page int, blocks int, last_block string")
+
+
+def doc_doubtful_regions(spark: SparkSession, folder: str) -> DataFrame:
+    """Doubtful blocks merged to regions."""
+    return U.each_document(blocks(spark, folder).filter(G.valid(G.box())), U.doubtful_regions, "region_id string, page int, blocks int")
+
+
+def doc_math(spark: SparkSession, folder: str) -> DataFrame:
+    """How mathematical each block is."""
+    return U.each_document(blocks(spark, folder), lambda b: [(x.block_id, *U.math_profile(x.text)) for x in b], "block_id string, level string, signals int, fragments int, density double")
+
+
+def doc_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """All sources of every artifact in one table: spans, equations, algorithms, figures; of one key the later family
+    in this order stands. Ids are hashes of artifact and key."""
+    s = doc_spans(spark, folder).select("artifact_id", F.lit(1).alias("rank"), F.lit("SPAN").alias("family"), F.col("span_id").alias("key"), "page")
+    e = doc_equations(spark, folder).filter("definition_id is not null").select("artifact_id", F.lit(2).alias("rank"), F.lit("EQUATION").alias("family"), F.concat(F.lit("eq:"), "label").alias("key"), "page")
+    a = doc_algorithms(spark, folder).select("artifact_id", F.lit(3).alias("rank"), F.lit("ALGORITHM").alias("family"), F.col("unit").alias("key"), "page")
+    pages = blocks(spark, folder).select("artifact_id", "block_id", "page")
+    f = doc_figures(spark, folder).join(pages, ["artifact_id", "block_id"]).groupBy("artifact_id", F.concat(F.lit("fig:"), "number").alias("key")).agg(F.min("page").alias("page"))
+    f = f.select("artifact_id", F.lit(4).alias("rank"), F.lit("FIGURE").alias("family"), "key", "page")
+    best = s.unionByName(e).unionByName(a).unionByName(f).groupBy("artifact_id", "key").agg(F.max_by(F.struct("family", "page"), F.struct("rank", "page")).alias("r"))
+    return best.select(F.concat(F.lit("src_"), F.substring(F.sha2(F.concat_ws("|", "artifact_id", "key"), 256), 1, 24)).alias("source_id"), "artifact_id", "key", "r.family", "r.page")
+
+
 def queries() -> dict:
     """The queries of this module."""
     return {n: f for n, f in globals().items() if n.startswith("doc_")}
