@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import geometry as G
 from paperloom.functions import text as T
+from paperloom.operators import grounding as N
 from paperloom.operators import layout as L
 from paperloom.operators import rows as R
 from paperloom.operators import units as U
@@ -339,6 +340,17 @@ def doc_math(spark: SparkSession, folder: str) -> DataFrame:
     return U.each_document(blocks(spark, folder), lambda b: [(x.block_id, *U.math_profile(x.text)) for x in b], "block_id string, level string, signals int, fragments int, density double")
 
 
+def doc_physical(spark: SparkSession, folder: str) -> DataFrame:
+    """Each block with the block that stands for its place."""
+    return N.drop_copies(blocks(spark, folder).filter(G.valid(G.box())))
+
+
+def doc_evidence_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Stable ids of all blocks as evidence, from paper, role and place."""
+    b = blocks(spark, folder)
+    return b.select("artifact_id", "block_id", N.evidence_key(F.col("paper_id").cast("string"), F.col("role"), N.place_text(F.col("page"), *G.box())).alias("evidence_key"))
+
+
 def doc_catalog(spark: SparkSession, folder: str) -> DataFrame:
     """All sources of every artifact in one table: spans, equations, algorithms, figures; of one key the later family
     in this order stands. Ids are hashes of artifact and key."""
@@ -437,6 +449,7 @@ SELECT artifact_id, block_id, key, count(*) OVER (PARTITION BY key) AS copies, r
 SELECT paper_id, kind, number, count(*) AS blocks, count(DISTINCT artifact_id) AS artifacts FROM r GROUP BY ALL""",
         "doc_families": f"""WITH {_B}, l AS (SELECT DISTINCT artifact_id, unnest(regexp_extract_all(text || ' ' || latex, '\\((\\d{{1,4}}[a-z]?)\\)', 1)) AS label FROM blocks)
 SELECT artifact_id, regexp_extract(label, '^(\\d+)', 1) AS base, count(*) AS members, min(label) AS first_label, max(label) AS last_label FROM l GROUP BY ALL""",
+        "doc_evidence_keys": f"""WITH {_B} SELECT artifact_id, block_id, 'ev_' || substr(sha256(concat_ws('|', CAST(paper_id AS VARCHAR), role, concat_ws(':', CAST(page AS VARCHAR), printf('%.5f', x), printf('%.5f', y), printf('%.5f', w), printf('%.5f', h)))), 1, 24) AS evidence_key FROM blocks""",
         "doc_reading_order": f"""WITH {_B}, r AS (SELECT *, sum(CASE WHEN lane = 'FULL' THEN 1 ELSE 0 END) OVER (PARTITION BY artifact_id, page ORDER BY y, x, block_id ROWS UNBOUNDED PRECEDING) AS region FROM boxed WHERE valid)
 SELECT artifact_id, block_id, CAST(row_number() OVER (PARTITION BY artifact_id ORDER BY page, region, CASE lane WHEN 'FULL' THEN 0 WHEN 'LEFT' THEN 1 ELSE 2 END, y, x, block_id) AS INTEGER) AS place FROM r""",
         "doc_render": f"""WITH {_B}, t AS (SELECT artifact_id, string_agg('[' || block_id || ', ' || page || ', ' || role || '] ' || text, chr(10) ORDER BY ord, block_id) AS t FROM blocks

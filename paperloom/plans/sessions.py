@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators import rows as R
+from paperloom.operators.grounding import context_levels
 from paperloom.operators.sequences import islands, lag_values, number_rows, scan_groups
 from paperloom.session import table
 
@@ -108,6 +109,12 @@ def ses_compaction(spark: SparkSession, folder: str) -> DataFrame:
     return s.filter("messages > 8 or characters > 6000").select("session_id", "messages", "characters", F.greatest(F.lit(0).cast("bigint"), F.col("messages") - 6).alias("folded"))
 
 
+def ses_context(spark: SparkSession, folder: str) -> DataFrame:
+    """The first level of the context ladder that fits 150 tokens, per session."""
+    order = [F.col("created_at").desc_nulls_last(), F.col("id").desc()]
+    return context_levels(chat(spark, folder), "session_id", order, F.col("content"), 150)
+
+
 def ses_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Estimated tokens by role."""
     role = F.upper(F.trim("role"))
@@ -189,7 +196,16 @@ def oracle_sql() -> dict[str, str]:
     counts = """SELECT session_id, count(*) AS messages, count(DISTINCT run_id) AS runs, count(*) FILTER (upper(trim(role)) = 'USER') AS users,
 count(*) FILTER (upper(trim(role)) = 'ASSISTANT') AS assistants, max(created_at) AS last_at FROM research_message WHERE session_id IS NOT NULL GROUP BY session_id"""
     tokens = "CAST(ceil(length(regexp_replace(content, '[^\\x{00}-\\x{7F}]', '', 'g')) / CAST(3.5 AS DOUBLE) + (length(content) - length(regexp_replace(content, '[^\\x{00}-\\x{7F}]', '', 'g')))) AS BIGINT)"
+    def cut_tokens(n: int) -> str:
+        cut = f"(CASE WHEN length(coalesce(content, '')) > {n} THEN substr(content, 1, {n - 1}) || '…' ELSE coalesce(content, '') END)"
+        return tokens.replace("content", cut)
+
+    ladder = [(8, 900), (6, 600), (4, 360), (2, 220)]
+    sums = ", ".join(f"CAST(sum({cut_tokens(c)}) FILTER (n <= {k}) AS BIGINT) AS t{i}, count(*) FILTER (n <= {k}) AS m{i}" for i, (k, c) in enumerate(ladder))
     return {
+        "ses_context": f"""WITH {_CHAT}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC NULLS LAST, id DESC) AS n FROM chat),
+s AS (SELECT session_id, {sums} FROM n GROUP BY session_id), l AS (SELECT *, CASE WHEN t0 <= 150 THEN 0 WHEN t1 <= 150 THEN 1 WHEN t2 <= 150 THEN 2 ELSE 3 END AS level FROM s)
+SELECT session_id, level, [m0, m1, m2, m3][level + 1] AS messages, [t0, t1, t2, t3][level + 1] AS tokens FROM l""",
         "ses_counts": counts,
         "ses_page": f"SELECT session_id, messages, last_at FROM ({counts}) ORDER BY last_at DESC NULLS LAST, session_id LIMIT 30",
         "ses_last_assistant": f"WITH {_CHAT} SELECT session_id, created_at, id, content FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC) AS rn FROM chat WHERE role = 'ASSISTANT' AND created_at IS NOT NULL) WHERE rn = 1",
