@@ -11,6 +11,7 @@ from paperloom.operators import grounding as N
 from paperloom.operators import layout as L
 from paperloom.operators import rows as R
 from paperloom.operators import units as U
+from paperloom.operators import validation as V
 from paperloom.session import table
 
 
@@ -364,6 +365,27 @@ def doc_catalog(spark: SparkSession, folder: str) -> DataFrame:
     return best.select(F.concat(F.lit("src_"), F.substring(F.sha2(F.concat_ws("|", "artifact_id", "key"), 256), 1, 24)).alias("source_id"), "artifact_id", "key", "r.family", "r.page")
 
 
+def doc_profile_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """How many profiles have which issue in their findings; and how many are valid as they are."""
+    found = table(spark, folder, "paper_memory").select(V.claim_issues(V.parsed_claims("profile_json", "keyFindings")).alias("issues"))
+    named = F.when(F.size("issues") == 0, F.array(F.lit("VALID"))).otherwise(F.col("issues"))
+    return found.select(F.explode(named).alias("issue")).groupBy("issue").agg(F.count("*").alias("profiles"))
+
+
+def doc_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings of every profile after repair: claims, mean confidence, evidence ids."""
+    c = table(spark, folder, "paper_memory").select("id", F.explode(V.repaired_claims(V.parsed_claims("profile_json", "keyFindings"))).alias("c"))
+    return c.groupBy("id").agg(F.count("*").alias("claims"), F.round(F.avg("c.confidence"), 6).alias("confidence"), F.sum(F.size("c.evidenceBlockIds")).cast("bigint").alias("ids"))
+
+
+def doc_grounded(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings per profile: claims, those with evidence, and those all of whose evidence a layout of the paper has."""
+    m = table(spark, folder, "paper_memory").select("id", "paper_id", F.posexplode(V.repaired_claims(V.parsed_claims("profile_json", "keyFindings"))).alias("no", "c"))
+    claims = m.select(F.struct("id", "no").alias("claim_id"), "paper_id", F.col("c.evidenceBlockIds").alias("ids"))
+    g = V.grounded(claims, blocks(spark, folder).select("paper_id", "block_id"), ["paper_id"])
+    return g.groupBy(F.col("claim_id.id").alias("id")).agg(F.count("*").alias("claims"), F.count_if(F.col("ids") > 0).alias("with_evidence"), F.count_if((F.col("ids") > 0) & (F.col("ids") == F.col("known_ids"))).alias("grounded"))
+
+
 def queries() -> dict:
     """The queries of this module."""
     return {n: f for n, f in globals().items() if n.startswith("doc_")}
@@ -378,6 +400,10 @@ boxed AS (SELECT *, CASE WHEN w >= 0.55 OR page = 1 AND y < 0.32 AND abs(x + w /
 _E = """parsed AS (SELECT id AS memory_id, paper_id, CASE WHEN json_valid(structure_json) THEN CAST(structure_json AS JSON) END AS s FROM paper_memory),
 sections AS (SELECT memory_id, unnest(CAST(s -> 'sections' AS JSON[])) AS x, generate_subscripts(CAST(s -> 'sections' AS JSON[]), 1) - 1 AS pos FROM parsed WHERE s IS NOT NULL),
 elements AS (SELECT memory_id, paper_id, unnest(CAST(s -> 'elements' AS JSON[])) AS e, generate_subscripts(CAST(s -> 'elements' AS JSON[]), 1) - 1 AS pos, CAST(s ->> 'pageCount' AS INTEGER) AS pages FROM parsed WHERE s IS NOT NULL)"""
+_C = """lists AS (SELECT id, paper_id, CASE WHEN json_valid(profile_json) AND json_type(profile_json, '$.keyFindings') = 'ARRAY' THEN CAST(json_extract(profile_json, '$.keyFindings') AS JSON[]) END AS l FROM paper_memory),
+flat AS (SELECT id, paper_id, unnest(l) AS c, generate_subscripts(l, 1) AS no FROM lists),
+claims AS (SELECT *, list_distinct(list_filter(list_transform(CASE json_type(c, '$.evidenceBlockIds') WHEN 'ARRAY' THEN CAST(c ->> 'evidenceBlockIds' AS VARCHAR[]) ELSE [] END, lambda x: trim(x)), lambda x: x <> '')) AS ids
+  FROM flat WHERE trim(coalesce(c ->> 'statement', '')) <> '')"""
 _ENDS = "regexp_matches({}, '[.!?。！？]\\s*$')"
 _OVER = """touching AS (SELECT * FROM (SELECT a.artifact_id, a.page, a.block_id AS a_id, b.block_id AS b_id,
   round(greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) / least(a.w * a.h, b.w * b.h), 6) AS share
@@ -450,6 +476,9 @@ SELECT paper_id, kind, number, count(*) AS blocks, count(DISTINCT artifact_id) A
         "doc_families": f"""WITH {_B}, l AS (SELECT DISTINCT artifact_id, unnest(regexp_extract_all(text || ' ' || latex, '\\((\\d{{1,4}}[a-z]?)\\)', 1)) AS label FROM blocks)
 SELECT artifact_id, regexp_extract(label, '^(\\d+)', 1) AS base, count(*) AS members, min(label) AS first_label, max(label) AS last_label FROM l GROUP BY ALL""",
         "doc_evidence_keys": f"""WITH {_B} SELECT artifact_id, block_id, 'ev_' || substr(sha256(concat_ws('|', CAST(paper_id AS VARCHAR), role, concat_ws(':', CAST(page AS VARCHAR), printf('%.5f', x), printf('%.5f', y), printf('%.5f', w), printf('%.5f', h)))), 1, 24) AS evidence_key FROM blocks""",
+        "doc_repaired": f"WITH {_C} SELECT id, count(*) AS claims, round(avg(least(1, greatest(0, coalesce(CAST(c ->> 'confidence' AS DOUBLE), 0.5)))), 6) AS confidence, CAST(sum(len(ids)) AS BIGINT) AS ids FROM claims GROUP BY id",
+        "doc_grounded": f"""WITH {_C}, {_B}, g AS (SELECT id, no, len(ids) AS n, (SELECT count(*) FROM (SELECT unnest(ids) AS i) WHERE EXISTS (SELECT 1 FROM blocks b WHERE b.paper_id = claims.paper_id AND b.block_id = i)) AS k FROM claims)
+SELECT id, count(*) AS claims, count(*) FILTER (n > 0) AS with_evidence, count(*) FILTER (n > 0 AND n = k) AS grounded FROM g GROUP BY id""",
         "doc_reading_order": f"""WITH {_B}, r AS (SELECT *, sum(CASE WHEN lane = 'FULL' THEN 1 ELSE 0 END) OVER (PARTITION BY artifact_id, page ORDER BY y, x, block_id ROWS UNBOUNDED PRECEDING) AS region FROM boxed WHERE valid)
 SELECT artifact_id, block_id, CAST(row_number() OVER (PARTITION BY artifact_id ORDER BY page, region, CASE lane WHEN 'FULL' THEN 0 WHEN 'LEFT' THEN 1 ELSE 2 END, y, x, block_id) AS INTEGER) AS place FROM r""",
         "doc_render": f"""WITH {_B}, t AS (SELECT artifact_id, string_agg('[' || block_id || ', ' || page || ', ' || role || '] ' || text, chr(10) ORDER BY ord, block_id) AS t FROM blocks
