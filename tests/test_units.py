@@ -52,3 +52,12 @@ def test_regions_boxes_math_and_places():
     assert U.math_profile("plain words") == ("NONE", 0, 0, 0.0) and U.math_profile("") == ("NONE", 0, 0, 0.0)
     assert U.math_profile("so α_1 ≤ β^2 and x_i = y")[0] == "MATH_RICH"
     assert U.locate("Hello World", [("p", "say hel-"), ("q", "lo, world!")]) == [("p", 4, 7), ("q", 0, 9)] and U.locate("absent", [("p", "x")]) == [] and U.locate("", [("p", "x")]) == []
+
+
+def test_titles_recoveries_and_runs():
+    rows = [block(0, "A Study of Glyph Boxes", at=(0.2, 0.1, 0.6, 0.03)), block(1, "Ann Author, Bo Writer", at=(0.2, 0.15, 0.6, 0.03)), block(2, "Abstract Ann Author", at=(0.2, 0.2, 0.6, 0.03)), block(3, "Ann Author", at=(0.2, 0.9, 0.6, 0.03))]
+    assert U.title_and_authors(rows, "A Study of Glyph Boxes", "Ann Author; Bo Writer") == {"b00": "TITLE", "b01": "AUTHOR"}
+    assert U.title_and_authors(rows, None, None) == {}
+    assert U.accepts_recovery({"a": "one two three"}, {"a": "one two THREE!"}) and not U.accepts_recovery({"a": "one two"}, {"a": "other words"})
+    assert not U.accepts_recovery({"a": "x"}, {"b": "x"}) and not U.accepts_recovery({"a": "one"}, {"a": "one " * 100})
+    assert U.run_kinds([("so ", False, False), ("we ", False, False), ("α≤β", False, False), ("x = y", True, True), ("", False, False)]) == [("TEXT", "so we "), ("INLINE_MATH", "α≤β"), ("DISPLAY_MATH", "x = y"), ("TEXT", "")]
