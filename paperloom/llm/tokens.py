@@ -15,6 +15,7 @@ import base64
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 #: Fixed value: the pattern that cuts a text before the merges of byte_bpe_50k.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Entries that a worker keeps of pieces and of pairs of tokens.
+#: Entries that a worker keeps of pieces, and half as many as of pairs of tokens.
 MEMORY = 1 << 18
 
 
@@ -37,24 +38,32 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
         return os.path.join("/opt/tokenizers", name)
 
 
+#: What stands before the first token, and where a token ends in the table of tokens.
+START, END = 1 << 20, 256
+
+
 class Vocabulary:
     """The ranks of a byte-level BPE vocabulary; a token's id is its rank."""
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.longest = max(map(len, self.ranks))
-        #: The lengths that tokens ending in given two bytes have, the longest first.
-        ends: dict[bytes, set[int]] = {}
-        for token in self.ranks:
-            ends.setdefault(token[-2:], set()).add(len(token))
-        self.lengths = {end: tuple(sorted(lengths, reverse=True)) for end, lengths in ends.items()}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
-
-    def merged(self, data: bytes) -> list[bytes]:
-        """The merges run over ``data``, the lowest rank first, the leftmost of equals."""
+        self.tokens = {i: t for t, i in self.ranks.items()}
+        self.sizes = {i: len(t) for i, t in self.tokens.items()}
+        #: Tokens by their bytes from the last to the first; a token's id stands under ``END``.
+        self.ends: dict = {}
+        for token, i in self.ranks.items():
+            node = self.ends
+            for byte in reversed(token):
+                node = node.setdefault(byte, {})
+            node[END] = i
+        self.splits: dict[int, tuple[int, int] | None] = {}
+        self.known: dict[int, bool] = {}
+
+    def merged(self, data: bytes, least: int = 1) -> list[bytes]:
+        """The merges run over ``data``, the lowest rank first, the leftmost of equals, until ``least`` parts are left."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > least:
             found = [(r, i) for i in range(len(parts) - 1) if (r := self.ranks.get(parts[i] + parts[i + 1])) is not None]
             if not found:
                 break
@@ -62,15 +71,42 @@ class Vocabulary:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def fits(self, left: bytes, right: bytes) -> bool:
-        """Whether ``right`` may follow ``left``; an empty ``left`` asks whether ``right`` is reached by merges."""
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= MEMORY:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
-        return known
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes a token, the last merge over its bytes; None for a byte and for a token
+        that no merges make."""
+        found = self.splits.get(token, False)
+        if found is False:
+            parts = self.merged(self.tokens[token], 2) if self.sizes[token] > 1 else []
+            found = self.splits[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return found
+
+    def fits(self, left: int, right: int) -> bool:
+        """Whether ``right`` may follow ``left``; START as ``left`` asks only whether merges make ``right``.
+
+        The merges inside the two are undone, the latest first; if at any time the parts that meet would have been
+        merged before the merge undone last, the merges would not have kept the two apart."""
+        key = left << 20 | right
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) >= 2 * MEMORY:
+                self.known.clear()
+            found = self.known[key] = (self.sizes[right] == 1 or self.halves(right) is not None) and (left == START or self._apart(left, right))
+        return found
+
+    def _apart(self, left: int, right: int) -> bool:
+        ranks, tokens, sizes, halves = self.ranks, self.tokens, self.sizes, self.halves
+        limit = len(ranks)
+        while True:
+            across = ranks.get(tokens[left] + tokens[right])
+            if across is not None and across < limit:
+                return False
+            a, b = left if sizes[left] > 1 else -1, right if sizes[right] > 1 else -1
+            if a < 0 and b < 0:
+                return True
+            if a > b:
+                limit, left = a, halves(left)[1]
+            else:  # of equal merges the left one comes first, so this one is undone first
+                limit, right = b + 1, halves(right)[0]
 
 
 class Prefixes:
@@ -79,21 +115,34 @@ class Prefixes:
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
         self.vocabulary = vocabulary
         self.data = b""
-        self.last: list[bytes] = [b""]
+        self.last: list[int] = [START]
         self.append(data)
 
     def append(self, more: bytes) -> Prefixes:
         """Lengthen the string; nothing before its old end is computed again."""
-        ranks, lengths, fits = self.vocabulary.ranks, self.vocabulary.lengths, self.vocabulary.fits
+        v = self.vocabulary
+        ends, sizes, known, fits = v.ends, v.sizes, v.known, v.fits
         start, last = len(self.data), self.last
         data = self.data = self.data + more
         for end in range(start + 1, len(data) + 1):
-            for n in lengths.get(data[max(0, end - 2) : end], ()) if end > 1 else (1,):
-                if n <= end and (token := data[end - n : end]) in ranks and fits(last[end - n], token):
+            # tokens that end here, the shortest first
+            node, at, found = ends, end, []
+            while at:
+                at -= 1
+                node = node.get(data[at])
+                if node is None:
+                    break
+                token = node.get(END)
+                if token is not None:
+                    found.append(token)
+            for token in reversed(found):
+                before = last[end - sizes[token]]
+                ok = known.get(before << 20 | token)
+                if ok or ok is None and fits(before, token):
                     last.append(token)
                     break
-            else:  # only the last byte itself is left
-                last.append(data[end - 1 : end])
+            else:
+                raise ValueError("the vocabulary lacks a byte")
         return self
 
     def replace(self, start: int, stop: int, by: bytes) -> Prefixes:
@@ -103,13 +152,20 @@ class Prefixes:
         del self.last[start + 1 :]
         return self.append(by + tail)
 
+    def become(self, data: bytes) -> Prefixes:
+        """Turn into another string; the table of the prefix that both have is kept."""
+        shared = len(os.path.commonprefix([self.data, data]))
+        self.data = data[:shared]
+        del self.last[shared + 1 :]
+        return self.append(data[shared:])
+
     def ids(self, end: int | None = None) -> list[int]:
         """The encoding of the first ``end`` bytes, by default of all."""
         at, out = len(self.data) if end is None else end, []
         while at:
             token = self.last[at]
-            out.append(self.vocabulary.ranks[token])
-            at -= len(token)
+            out.append(token)
+            at -= self.vocabulary.sizes[token]
         return out[::-1]
 
 
@@ -125,23 +181,38 @@ class Encoder:
 
     def piece(self, piece: str) -> tuple[int, ...]:
         """The ids of one piece."""
-        if len(self.known) >= MEMORY:
-            self.known.clear()
-        ids = self.known[piece] = tuple(Prefixes(self.vocabulary, piece.encode()).ids())
+        ids = self.known.get(piece)
+        if ids is None:
+            if len(self.known) >= MEMORY:
+                self.known.clear()
+            ids = self.known[piece] = tuple(Prefixes(self.vocabulary, piece.encode()).ids())
         return ids
 
+    def parts(self, text: str | None) -> list[tuple[int, ...]]:
+        """The ids of a text, piece by piece."""
+        known, piece = self.known.get, self.piece
+        return [known(x) or piece(x) for x in self.cut.findall(text or "")]
+
+    def batch(self, texts: list[str | None]) -> list[list[tuple[int, ...]]]:
+        """``parts`` of many texts: new pieces are sorted, and each goes on from the prefix it shares with the last."""
+        cuts = [self.cut.findall(x or "") for x in texts]
+        new = set().union(*cuts).difference(self.known)
+        if len(self.known) + len(new) > MEMORY:
+            self.known.clear()
+            new = set().union(*cuts)
+        table = Prefixes(self.vocabulary)
+        for data in sorted(x.encode() for x in new):
+            self.known[data.decode()] = tuple(table.become(data).ids())
+        known = self.known.__getitem__
+        return [list(map(known, x)) for x in cuts]
+
     def encode(self, text: str | None) -> list[int]:
         """The ids of a text; none for a null or an empty one. Special tokens are plain text."""
-        out: list[int] = []
-        known, piece, extend = self.known, self.piece, out.extend
-        for x in self.cut.findall(text or ""):
-            extend(known.get(x) or piece(x))
-        return out
+        return list(chain.from_iterable(self.parts(text)))
 
     def count(self, text: str | None) -> int:
         """The number of ids of a text."""
-        known, piece = self.known, self.piece
-        return sum([len(known.get(x) or piece(x)) for x in self.cut.findall(text or "")])
+        return sum(map(len, self.parts(text)))
 
 
 class Document:
@@ -183,7 +254,7 @@ class Document:
                 break
             starts.append(match.start())
             x = match.group()
-            pieces.append(self.encoder.known.get(x) or self.encoder.piece(x))
+            pieces.append(self.encoder.piece(x))
         self.starts, self.pieces = starts, pieces
         return self
 
@@ -212,10 +283,10 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             names = batch.column(0)
             texts = batch.column(1)
             for at in range(0, len(texts), 256):
-                lists = [own.encode(x) for x in texts.slice(at, 256).to_pylist()]
+                lists = own.batch(texts.slice(at, 256).to_pylist())
                 offsets = np.zeros(len(lists) + 1, np.int32)
-                np.cumsum([len(x) for x in lists], out=offsets[1:])
-                flat = np.fromiter((i for x in lists for i in x), np.int32, int(offsets[-1]))
+                np.cumsum([sum(map(len, x)) for x in lists], out=offsets[1:])
+                flat = np.fromiter(chain.from_iterable(chain.from_iterable(lists)), np.int32, int(offsets[-1]))
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([names.slice(at, 256), ids], names=[id_col, "ids"])
 
@@ -230,8 +301,10 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            counts = pa.array([own.count(x) for x in batch.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts], names=[id_col, "n_tokens"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                counts = pa.array([sum(map(len, x)) for x in own.batch(part.column(1).to_pylist())], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), counts], names=[id_col, "n_tokens"])
 
     kind = dict(df.dtypes)[id_col]
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint")

@@ -33,6 +33,13 @@ def test_equals_the_merges(reference, encoder, text):
     assert encoder.encode(text) == reference.encode_ordinary(text) and encoder.count(text) == len(encoder.encode(text))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(TEXTS, max_size=5))
+def test_batches(reference, encoder, texts):
+    got = [[i for piece in parts for i in piece] for parts in encoder.batch([*texts, None])]
+    assert got == [*[reference.encode_ordinary(t) for t in texts], []]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.binary(max_size=40), st.binary(max_size=10), st.integers(0, 40), st.integers(0, 40))
 def test_every_prefix_appends_and_edits(encoder, data, more, a, b):
