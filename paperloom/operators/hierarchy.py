@@ -10,8 +10,6 @@ rows with lft between them.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,29 +36,29 @@ def _climb(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     start = nodes.join(known, F.col("parent") == F.col("p"), "left")
     state = F.when(F.col("parent").isNull(), "ok").when(F.col("p").isNull(), "orphan")
     now = stage(
-        start.select("id", F.col("p").alias("to"), F.coalesce("p", "id").alias("root"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), state.alias("state"), F.least("id", "p").alias("least"))
-    )
-    ended = [now.filter("to is null")]
-    moving = now.filter("to is not null")
-    sizes = stage(nodes.select("id", F.lit(1).cast("bigint").alias("size")))
-    left, before = moving.count(), None
+        start.select(
+            "id", F.col("p").alias("to"), F.coalesce("p", "id").alias("root"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
+            state.alias("state"), F.least("id", "p").alias("least"), F.lit(1).cast("bigint").alias("size"),
+        )
+    )
+    left, before = now.filter("to is not null").count(), None
     while left and left != before:
         # sizes: what lies less than 2^k below, plus what the rows 2^k below have less than 2^k below them
-        given = moving.select("id", "to").join(sizes, "id").groupBy("to").agg(F.sum("size").alias("more"))
-        smaller, sizes = sizes, stage(sizes.join(given, F.col("id") == F.col("to"), "left").select("id", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
-        unstage(smaller)
+        given = now.filter("to is not null").groupBy(F.col("to").alias("above")).agg(F.sum("size").alias("more"))
         table = now.select(F.col("id").alias("t"), F.col("to").alias("t_to"), F.col("root").alias("t_root"), F.col("depth").alias("t_depth"), F.col("state").alias("t_state"), F.col("least").alias("t_least"))
-        moved = stage(
-            moving.join(table, F.col("to") == F.col("t")).select(
-                "id", F.col("t_to").alias("to"), F.col("t_root").alias("root"), (F.col("depth") + F.col("t_depth")).alias("depth"), F.col("t_state").alias("state"), F.least("least", "t_least").alias("least")
+        met = now.join(table, F.col("to") == F.col("t"), "left").join(given, F.col("id") == F.col("above"), "left")
+        moves = F.col("t").isNotNull()
+        after = stage(
+            met.select(
+                "id", F.col("t_to").alias("to"), F.when(moves, F.col("t_root")).otherwise(F.col("root")).alias("root"), (F.col("depth") + F.coalesce("t_depth", F.lit(0))).alias("depth"),
+                F.when(moves, F.col("t_state")).otherwise(F.col("state")).alias("state"), F.least("least", "t_least").alias("least"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
             )
-        )
-        ended.append(moved.filter("to is null"))
-        moving = moved.filter("to is not null")
-        now = reduce(DataFrame.unionByName, ended).unionByName(moving)
-        before, left = left, moving.count()
-    done = reduce(DataFrame.unionByName, ended).select("id", "state", "root", "depth")
-    return done, moving.select("id", "to", "least"), sizes
+        )
+        unstage(now)
+        now = after
+        before, left = left, now.filter("to is not null").count()
+    done = now.filter("to is null")
+    return done.select("id", "state", "root", "depth"), now.filter("to is not null").select("id", "to", "least"), now.select("id", "size")
 
 
 def _cycles(cyclic: DataFrame) -> DataFrame:
@@ -141,19 +139,19 @@ def hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id"
     now = stage(
         sound.join(offsets, "id").select("id", F.col("parent").alias("to"), F.col("offset").alias("lft"), F.array("name").alias("path"), F.array("id").alias("path_ids"))
     )
-    ended = [now.filter("to is null")]
-    moving = now.filter("to is not null")
-    while moving.limit(1).count():
+    while now.filter("to is not null").limit(1).count():
         table = now.select(F.col("id").alias("t"), F.col("to").alias("t_to"), F.col("lft").alias("t_lft"), F.col("path").alias("t_path"), F.col("path_ids").alias("t_ids"))
-        moved = stage(
-            moving.join(table, F.col("to") == F.col("t")).select(
-                "id", F.col("t_to").alias("to"), (F.col("lft") + F.col("t_lft")).alias("lft"), F.concat("t_path", "path").alias("path"), F.concat("t_ids", "path_ids").alias("path_ids")
+        met = now.join(table, F.col("to") == F.col("t"), "left")
+        none = F.array().cast(f"array<{dict(own.dtypes)['id']}>")
+        after = stage(
+            met.select(
+                "id", F.col("t_to").alias("to"), (F.col("lft") + F.coalesce("t_lft", F.lit(0))).alias("lft"),
+                F.concat(F.coalesce("t_path", F.array().cast("array<string>")), "path").alias("path"), F.concat(F.coalesce("t_ids", none), "path_ids").alias("path_ids"),
             )
-        )
-        ended.append(moved.filter("to is null"))
-        moving = moved.filter("to is not null")
-        now = reduce(DataFrame.unionByName, ended).unionByName(moving)
-    numbered = reduce(DataFrame.unionByName, ended).select("id", "lft", "path", "path_ids")
+        )
+        unstage(now)
+        now = after
+    numbered = now.select("id", "lft", "path", "path_ids")
     return sound.join(numbered, "id").select(
         F.col("id"), F.col("parent").alias("parent_id"), "name", F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), "path", "path_ids", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("n_descendants")
     )
