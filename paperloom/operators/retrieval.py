@@ -39,14 +39,16 @@ def search(needs: DataFrame, sources: DataFrame, k: int = 50) -> DataFrame:
     Needs without tokens find nothing.
     """
     n = needs.select("need_id", F.lower(T.collapsed(F.col("query"))).alias("q")).filter("q != ''")
-    sized = n.withColumn("size", F.size(T.tokens(F.col("q")))).filter("size > 0")
+    sized = n.withColumn("size", F.size(T.tokens(F.col("q")))).filter("size > 0").withColumn("cq", T.compact(F.col("q")))
+    sized = sized.withColumns({"q_formulas": T.numbers_in(F.col("q"), T.FORMULAS), "q_figures": T.numbers_in(F.col("q"), T.FIGURES)})
     hits = matched_tokens(sized.select("need_id", "q"), sources, "need_id", "source_id", "q", "text", "section")
     s = sources.select("source_id", "page", "kind", F.lower(T.collapsed(F.concat_ws(" ", "text", "section"))).alias("t"), T.numbers_in(F.col("text"), T.FORMULAS).alias("formulas"), T.numbers_in(F.col("text"), T.FIGURES).alias("figures"))
+    s = s.withColumn("ct", T.compact(F.col("t")))  # once a source, not once a pair
     j = hits.join(sized, "need_id").join(s, "source_id")
     phrase = F.contains("t", F.col("q"))
-    share = F.when(F.contains(T.compact(F.col("t")), T.compact(F.col("q"))), 1.0).otherwise(F.col("matched") / F.col("size"))
-    formula = F.arrays_overlap(T.numbers_in(F.col("q"), T.FORMULAS), F.col("formulas"))
-    figure = (F.col("kind") == "FIGURE") & F.arrays_overlap(T.numbers_in(F.col("q"), T.FIGURES), F.col("figures"))
+    share = F.when(F.contains("ct", F.col("cq")), 1.0).otherwise(F.col("matched") / F.col("size"))
+    formula = F.arrays_overlap("q_formulas", "formulas")
+    figure = (F.col("kind") == "FIGURE") & F.arrays_overlap("q_figures", "figures")
     section = F.col("in_section") / F.col("size")
     score = F.greatest(
         share * 0.72, F.when(phrase, 0.96).otherwise(0.0), F.when(formula | figure, 1.0).otherwise(0.0), F.when(F.col("in_section") > 0, 0.35 + 0.55 * section).otherwise(0.0)
