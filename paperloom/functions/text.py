@@ -61,6 +61,16 @@ def query_coverage(query: Column, query_tokens: Column, text: Column, text_token
     return F.when((q == "") | (t == "") | q.isNull() | t.isNull(), 0.0).when(F.contains(t, q), 1.0).otherwise(F.coalesce(share, F.lit(0.0)))
 
 
+def coverage(query: Column, query_size: Column, text: Column, text_size: Column, matched: Column) -> Column:
+    """Coverage by compact forms and numbers of tokens: 1 if the text contains the query; where a side has no tokens,
+    the length of their common beginning by that of the query, at least 4; else the share of tokens matched. 0 where a
+    side has no letters and digits."""
+    places = F.sequence(F.lit(1), F.least(F.length(query), F.length(text)))
+    same = F.size(F.filter(places, lambda i: F.substring(query, F.lit(1), i) == F.substring(text, F.lit(1), i)))
+    begin = F.least(F.lit(1.0), same / F.greatest(F.lit(4), F.length(query)))
+    return F.when((query == "") | (text == ""), 0.0).when(F.contains(text, query), 1.0).when((query_size == 0) | (text_size == 0), begin).otherwise(matched / query_size)
+
+
 def numbers_in(c: Column, pattern: str) -> Column:
     """Distinct numbers that a pattern's group finds."""
     return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(1)))

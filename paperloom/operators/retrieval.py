@@ -1,8 +1,10 @@
 """Lexical retrieval of sources for needs: candidates by an inverted index, scores as columns, fair selection.
 
-A need is compared only with sources that share a token with it (an equi-join on tokens), so there is no comparison of
-all needs with all sources. A token that half of all sources have makes a hot key; the join's sides are pre-aggregated
-to one row a (need, token) and (source, token), and adaptive execution splits what is left of the skew.
+A need is compared only with sources that share a key with it (equi-joins), so there is no comparison of all needs with
+all sources. The keys lose no source that can score: tokens; formula and figure numbers; a piece of the need's letters
+and digits, which every text that contains them has; and the first letter where a side has no tokens. A token that half
+of all sources have makes a hot key; the join's sides are pre-aggregated to one row a (need, token) and (source, token),
+and adaptive execution splits what is left of the skew.
 """
 
 from __future__ import annotations
@@ -14,47 +16,85 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 
+#: Lengths of the pieces by which texts that contain a need are found, longest first; a need has the longest that fits.
+PIECES = (8, 4, 2, 1)
+
 
 def inverted(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(id, token): the distinct tokens of every row."""
     return df.select(id_col, F.explode(T.tokens(text)).alias("token"))
 
 
-def matched_tokens(needs: DataFrame, sources: DataFrame, need: str, source: str, query: str, text: str, section: str) -> DataFrame:
+def matched_tokens(needs: DataFrame, sources: DataFrame, need: str, source: str, query: str, text: str, section: str, also: DataFrame | None = None) -> DataFrame:
     """(need, source, matched bigint, in_section bigint): how many of a need's tokens each source that has any has, in
-    its text and section, and in its section alone."""
+    its text and section, and in its section alone; the pairs (need, source) of ``also`` are there even without any."""
     q = inverted(needs, need, F.col(query))
     everywhere = sources.select(source, F.explode(T.tokens(F.concat_ws(" ", F.col(text), F.col(section)))).alias("token"))
     there = sources.select(source, F.explode(T.tokens(F.col(section))).alias("token")).withColumn("s", F.lit(1))
     both = everywhere.join(there, [source, "token"], "left")
-    return q.join(both, "token").groupBy(need, source).agg(F.count("*").alias("matched"), F.count("s").alias("in_section"))
+    pairs = q.join(both, "token").select(need, source, F.lit(1).alias("m"), "s")
+    if also is not None:
+        nothing = F.lit(None).cast("int")
+        pairs = pairs.unionByName(also.select(need, source, nothing.alias("m"), nothing.alias("s")))
+    return pairs.groupBy(need, source).agg(F.count("m").alias("matched"), F.count("s").alias("in_section"))
+
+
+def containing(needs: DataFrame, sources: DataFrame) -> DataFrame:
+    """(need_id, source_id): all pairs whose source contains the need, among others that share a piece with it.
+
+    needs: need_id, q, cq; sources: source_id, t, ct. A need without letters and digits is looked for as it stands. At
+    most twice as many lengths of pieces as ``PIECES`` has reach the driver; only those are taken from the sources.
+    """
+    n = needs.select("need_id", (F.col("cq") == "").alias("raw"), F.when(F.col("cq") == "", F.col("q")).otherwise(F.col("cq")).alias("own"))
+    fitting = F.coalesce(*[F.when(F.length("own") >= size, size) for size in PIECES])
+    n = n.withColumn("size", fitting).withColumn("piece", F.expr("right(own, size)"))
+    pieces = lambda raw, size: F.regexp_extract_all(F.col("t" if raw else "ct"), F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    out = needs.select("need_id").join(sources.select("source_id").filter("false").withColumn("need_id", F.lit(None).cast("string")), "need_id")
+    for raw, size in sorted((r.raw, r.size) for r in n.select("raw", "size").distinct().collect()):
+        there = sources.select("source_id", F.explode(F.array_distinct(pieces(raw, size))).alias("piece"))
+        mine = n.filter((F.col("raw") == raw) & (F.col("size") == size))
+        out = out.unionByName(mine.join(there, "piece").select("need_id", "source_id"))
+    return out
+
+
+def sharing(needs: DataFrame, sources: DataFrame, need_keys: Column, source_keys: Column) -> DataFrame:
+    """(need_id, source_id): the pairs that have an element of two arrays in common."""
+    return needs.select("need_id", F.explode(need_keys).alias("key")).join(sources.select("source_id", F.explode(source_keys).alias("key")), "key").select("need_id", "source_id")
 
 
 def search(needs: DataFrame, sources: DataFrame, k: int = 50) -> DataFrame:
     """The best ``k`` sources of every need: (need_id, source_id, score, routes, rank).
 
-    needs: need_id, query. sources: source_id, page, kind, text, section. 0.72 of the token coverage; a phrase found
-    as it stands gives 0.96; a formula or figure number that a source of that kind has gives 1; coverage c by the
-    section alone gives 0.35 + 0.55 c. The greatest counts, at most 1. Ties go to the lower page, then the lower id.
-    Needs without tokens find nothing.
+    needs: need_id, query. sources: source_id, page, kind, text, section. 0.72 of the coverage of the need by the text
+    and section; a phrase found as it stands gives 0.96; a formula or figure number that a source of that kind has gives
+    1; coverage c by the section alone gives 0.35 + 0.55 c. Coverage is that of ``text.coverage``. The greatest counts,
+    at most 1; sources of score 0 are left out. Ties go to the lower page, then the lower id. Blank needs find nothing.
     """
     n = needs.select("need_id", F.lower(T.collapsed(F.col("query"))).alias("q")).filter("q != ''")
-    sized = n.withColumn("size", F.size(T.tokens(F.col("q")))).filter("size > 0").withColumn("cq", T.compact(F.col("q")))
+    sized = n.withColumn("size", F.size(T.tokens(F.col("q")))).withColumn("cq", T.compact(F.col("q")))
     sized = sized.withColumns({"q_formulas": T.numbers_in(F.col("q"), T.FORMULAS), "q_figures": T.numbers_in(F.col("q"), T.FIGURES)})
-    hits = matched_tokens(sized.select("need_id", "q"), sources, "need_id", "source_id", "q", "text", "section")
-    s = sources.select("source_id", "page", "kind", F.lower(T.collapsed(F.concat_ws(" ", "text", "section"))).alias("t"), T.numbers_in(F.col("text"), T.FORMULAS).alias("formulas"), T.numbers_in(F.col("text"), T.FIGURES).alias("figures"))
-    s = s.withColumn("ct", T.compact(F.col("t")))  # once a source, not once a pair
+    s = sources.select("source_id", "page", "kind", F.lower(T.collapsed(F.concat_ws(" ", "text", "section"))).alias("t"), F.coalesce("section", F.lit("")).alias("section"), T.numbers_in(F.col("text"), T.FORMULAS).alias("formulas"), T.numbers_in(F.col("text"), T.FIGURES).alias("figures"))
+    s = s.withColumns({"ct": T.compact(F.col("t")), "cs": T.compact(F.col("section")), "t_size": F.size(T.tokens(F.col("t"))), "s_size": F.size(T.tokens(F.col("section")))})  # once a source, not once a pair
+    s = s.withColumn("figures", F.when(F.col("kind") == "FIGURE", F.col("figures")).otherwise(F.array().cast("array<string>"))).drop("section")
+    first = lambda c: F.filter(F.array(F.substring(c, 1, 1)), lambda x: x != "")
+    ct, cs = first("ct"), first("cs")
+    none = F.array().cast("array<string>")
+    others = containing(sized, s)
+    others = others.unionByName(sharing(sized, s, F.col("q_formulas"), F.col("formulas"))).unionByName(sharing(sized, s, F.col("q_figures"), F.col("figures")))
+    others = others.unionByName(sharing(sized.filter("size = 0"), s, first("cq"), F.array_distinct(F.concat(ct, cs))))
+    others = others.unionByName(sharing(sized.filter("size > 0"), s, first("cq"), F.array_distinct(F.concat(F.when(F.col("t_size") == 0, ct).otherwise(none), F.when(F.col("s_size") == 0, cs).otherwise(none)))))
+    hits = matched_tokens(sized.select("need_id", "q"), sources, "need_id", "source_id", "q", "text", "section", others)
     j = hits.join(sized, "need_id").join(s, "source_id")
     phrase = F.contains("t", F.col("q"))
-    share = F.when(F.contains("ct", F.col("cq")), 1.0).otherwise(F.col("matched") / F.col("size"))
+    lexical = T.coverage(F.col("cq"), F.col("size"), F.col("ct"), F.col("t_size"), F.col("matched"))
     formula = F.arrays_overlap("q_formulas", "formulas")
-    figure = (F.col("kind") == "FIGURE") & F.arrays_overlap("q_figures", "figures")
-    section = F.col("in_section") / F.col("size")
+    figure = F.arrays_overlap("q_figures", "figures")
+    j = j.withColumns({"phrase": phrase, "lexical": lexical, "formula": formula, "figure": figure, "in_it": T.coverage(F.col("cq"), F.col("size"), F.col("cs"), F.col("s_size"), F.col("in_section"))})
     score = F.greatest(
-        share * 0.72, F.when(phrase, 0.96).otherwise(0.0), F.when(formula | figure, 1.0).otherwise(0.0), F.when(F.col("in_section") > 0, 0.35 + 0.55 * section).otherwise(0.0)
+        F.col("lexical") * 0.72, F.when(F.col("phrase"), 0.96).otherwise(0.0), F.when(F.col("formula") | F.col("figure"), 1.0).otherwise(0.0), F.when(F.col("in_it") > 0, 0.35 + 0.55 * F.col("in_it")).otherwise(0.0)
     )
-    routes = F.array_join(F.array_compact(F.array(F.when(phrase, "EXACT_PHRASE").when(F.col("matched") > 0, "TOKEN_COVERAGE"), F.when(formula, "FORMULA_NUMBER"), F.when(figure, "FIGURE_NUMBER"), F.when(F.col("in_section") > 0, "SECTION"))), "+")
-    scored = j.select("need_id", "source_id", "page", F.round(F.least(score, F.lit(1.0)), 6).alias("score"), routes.alias("routes"))
+    routes = F.array_join(F.array_compact(F.array(F.when(F.col("phrase"), "EXACT_PHRASE").when(F.col("lexical") > 0, "TOKEN_COVERAGE"), F.when(F.col("formula"), "FORMULA_NUMBER"), F.when(F.col("figure"), "FIGURE_NUMBER"), F.when(F.col("in_it") > 0, "SECTION"))), "+")
+    scored = j.select("need_id", "source_id", "page", F.least(score, F.lit(1.0)).alias("full"), routes.alias("routes")).filter("full > 0").withColumn("score", F.round("full", 6))
     w = Window.partitionBy("need_id").orderBy(F.desc("score"), F.asc("page"), F.asc("source_id"))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("need_id", "source_id", "score", "routes", "rank")
 
