@@ -2,8 +2,8 @@
 
 A text is first read as a sequence of symbols: openers and closers of quotations and brackets, end marks (each judged
 by its neighbourhood: abbreviation, initial, decimal, ordinal, what follows), spaces in Thai, line breaks before list
-items, and blank lines. The transducer runs over the symbols; its state is the stack of what is open (at most
-``DEPTH``), whether the outermost of it opened the sentence, and whether the sentence has begun at all. Symbols that
+items, and blank lines. The transducer runs over the symbols; its state is the stack of what is open (of any
+depth), whether the outermost of it opened the sentence, and whether the sentence has begun at all. Symbols that
 end a sentence do so only when nothing is open, and a blank line always leads to the start state.
 
 A long document is cut into chunks; each is processed as the function from the state before it to the state after it
@@ -21,9 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Quotations and brackets that can be open at once; deeper ones are not tracked.
-DEPTH = 3
-#: Characters within which an opener's closer must stand.
+#: Characters on either side in which the neighbours of a list item's number are looked for.
 SPAN = 1500
 #: Characters of a chunk; longer documents are cut.
 CHUNK = 1 << 16
@@ -302,11 +300,50 @@ def _after_closer(text: str, stop: int, lead: bool, bracket: bool) -> int:
     return end
 
 
-def transduce(text: str, lo: int, hi: int, state: State, blanks: list[int]) -> tuple[State, list[int]]:
+def _paired(text: str, opener: str, closer: str, blanks: list[int]) -> set[int]:
+    """Positions of the openers of one kind that have a closer of their own before the next blank line."""
+    out, opened, b = set(), [], 0
+    for m in re.finditer(f"[{re.escape(opener + closer)}]", text):
+        at = m.start()
+        while b < len(blanks) and blanks[b] < at:
+            opened.clear()
+            b += 1
+        if text[at] == opener:
+            opened.append(at)
+        elif opened:
+            out.add(opened.pop())
+    return out
+
+
+def _closed_by(text: str, at: int, blanks: list[int], seen: dict) -> str:
+    """What closes the opener at ``at`` before the next blank line, however far; "" if nothing does. ``seen`` keeps what
+    was found in this text, so that looking for the closers of all its openers is linear in it."""
+    opener, closers = text[at], PAIRS[text[at]]
+    b = bisect_left(blanks, at)
+    stop = blanks[b] if b < len(blanks) else len(text)
+    if opener in seen:
+        return closers if at in seen[opener] else ""
+    first, by = stop, ""
+    for k in closers:
+        start, found = seen.get((k,), (0, -1))
+        if not start <= at < found:
+            found = text.find(k, at + 1)
+            start, found = seen[(k,)] = at, found if found >= 0 else len(text)
+        if found < first:
+            first, by = found, k
+    if by and len(closers) == 1 and opener != closers and text.find(opener, at + 1, first) >= 0:
+        seen[opener] = _paired(text, opener, closers, blanks)
+        return closers if at in seen[opener] else ""
+    return by
+
+
+def transduce(text: str, lo: int, hi: int, state: State, blanks: list[int], seen: dict | None = None) -> tuple[State, list[int]]:
     """(state after, boundaries): the transducer over the symbols of text[lo:hi], from ``state``.
 
-    ``blanks`` are the positions of blank lines; symbols look at the text around them, at most ``SPAN`` away.
+    ``blanks`` are the positions of blank lines; openers look for their closers up to the next of them. ``seen`` is for
+    all calls over one text.
     """
+    seen = {} if seen is None else seen
     stack, lead, fresh = state
     cuts: list[int] = []
     cut = cuts.append
@@ -358,16 +395,13 @@ def transduce(text: str, lo: int, hi: int, state: State, blanks: list[int]) -> t
                 if stack or not _ended_inside(text, at):
                     continue
                 end = _after_closer(text, at + 1, lead, c in ")]}）］｝】〕〗")
-            elif c in PAIRS and len(stack) < DEPTH and at + 1 < n and not (c in '"＂' and (text[at + 1].isspace() or at and text[at - 1].isdigit())):
-                closers = PAIRS[c]
-                b = bisect_left(blanks, at)
-                stop = min(at + SPAN, blanks[b] if b < len(blanks) else n)
-                closer = min((x for x in (text.find(k, at + 1, stop) for k in closers) if x >= 0), default=-1)
-                if closer < 0:
+            elif c in PAIRS and at + 1 < n and not (c in '"＂' and (text[at + 1].isspace() or at and text[at - 1].isdigit())):
+                closer = _closed_by(text, at, blanks, seen)
+                if not closer:
                     continue
                 if not stack:
                     lead = fresh and _MARKER.fullmatch(text, since, at) is not None
-                stack += text[closer]
+                stack += closer
                 continue
             else:
                 continue
@@ -393,9 +427,9 @@ def chunk_starts(text: str, size: int) -> list[int]:
     return starts
 
 
-def chunk_function(text: str, lo: int, hi: int, blanks: list[int], states: set[State]) -> dict[State, tuple[State, list[int]]]:
+def chunk_function(text: str, lo: int, hi: int, blanks: list[int], states: set[State], seen: dict | None = None) -> dict[State, tuple[State, list[int]]]:
     """A chunk as the function of the state before it, for the given states: (state after, boundaries)."""
-    return {state: transduce(text, lo, hi, state, blanks) for state in states}
+    return {state: transduce(text, lo, hi, state, blanks, seen) for state in states}
 
 
 def compose(first: dict, second: dict) -> dict:
@@ -421,9 +455,9 @@ def boundaries(text: str, size: int = CHUNK) -> list[int]:
         return transduce(text, 0, len(text), START, blanks)[1]
     ends = [*starts[1:], len(text)]
     # states that can stand before each chunk: those that the chunk before can end in
-    states, functions = {START}, []
+    states, functions, seen = {START}, [], {}
     for lo, hi in zip(starts, ends):
-        functions.append(chunk_function(text, lo, hi, blanks, states))
+        functions.append(chunk_function(text, lo, hi, blanks, states, seen))
         states = {after for after, _ in functions[-1].values()}
     return sorted(set(scan(functions)[-1][START][1]))
 

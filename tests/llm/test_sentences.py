@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,21 @@ def test_lines():
     assert [text[a:b] for a, b in S.sentences(text)] == ["ไปไหน", "มาไหน abc ไป"]
 
 
+def test_long_and_deep_quotations_are_one_sentence():
+    inner = "One thing happened. Another followed it. " * 60
+    for case in ([f"She said, “{inner}” and left.", "Then it ended."], [f"A note ({inner}) stands here.", "Then it ended."], ["So (a [b {c “d. E” f. G} h. I] j. K) it goes.", "Then it ended."], ["So (a (b (c (d) e) f) g. More here) it goes.", "Then it ended."], ["A ( stays open.", "Then (as said) it goes on.", "End."]):
+        text = " ".join(case)
+        for size in (60, S.CHUNK):
+            assert [text[a:b] for a, b in S.sentences(text, size)] == case
+
+
+def test_many_openers_take_linear_time():
+    for text in ("Then ( we go “on [and on. " * 20_000, "Then (we go on. " * 20_000 + ")"):
+        began = time.process_time()
+        S.sentences(text)
+        assert time.process_time() - began < 20
+
+
 def test_every_character_once_and_chunks_change_nothing():
     rnd = random.Random(5)
     pieces = [s for c in CASES + GLUED for s in c] + ["\n\n", "\n", "1. ", "\n- ", "\"", "(", ")", "“", "」", "...", " ", "words that go on and on without any mark for a while "]
