@@ -16,10 +16,16 @@ from paperloom.staging import shared_dir
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
-    """The event log as a stream, ``files`` files a batch; watermarks need a time with a zone, so ts is cast."""
+def event_stream(spark: SparkSession, folder: str, files: int | None = None) -> DataFrame:
+    """The event log as a stream; watermarks need a time with a zone, so ts is cast.
+
+    All files that are there come in one batch, so that none moves the watermark past the rows of another. ``files`` a
+    batch is for a log whose files come in order of time; rows later than the watermark allows are dropped then.
+    """
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/events.parquet")
-    reader = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files)
+    reader = spark.readStream.schema(EVENTS)
+    if files is not None:
+        reader = reader.option("maxFilesPerTrigger", files)
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
         raw = reader.parquet(f"{folder}/events.parquet")
     else:  # a stream reads folders
