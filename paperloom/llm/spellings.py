@@ -29,9 +29,8 @@ TYPO, INITIAL, NICKNAME, SWAPPED, MIDDLE, SHORTENED, ACRONYM, UMLAUT = 0.02, 0.2
 OWN = 1e-4
 #: Share of the posterior that the maximum must hold.
 SHARE = 0.5
-#: A nickname is learned from this many surnames, and this share of those it has; only surnames with at most
-#: ``LEARN_WIDTH`` given names take part, as others say little about which of their given names are one person's.
-LEARN_SURNAMES, LEARN_SHARE, LEARN_WIDTH = 3, 0.6, 64
+#: A nickname is learned from this many surnames, and this share of those it has.
+LEARN_SURNAMES, LEARN_SHARE = 3, 0.6
 #: An unlisted short form: begins like the full name, has at most this many letters, and is this many times rarer.
 BEGINS, SHORT_LETTERS, RARER, UNLISTED = 2, 6, 20, 0.01
 #: Titles, suffixes, and letters that have no decomposition.
@@ -280,19 +279,22 @@ def _scored(pairs: DataFrame, nicknames: dict[str, set[str]]) -> DataFrame:
 
 
 def learned_nicknames(forms: DataFrame) -> DataFrame:
-    """(short, full): given names that stand beside a more frequent one under most of their surnames."""
+    """(short, full): given names that stand beside a more frequent one under most of their surnames.
+
+    All surnames teach. Within one, only names with two surnames or more are paired, and only with names that are
+    frequent enough beside them in all: no other pair can be chosen.
+    """
     parts = F.split("form", r"\|")
     people = forms.filter((F.col("kind") == "author") & ~F.col("form").startswith("=")).select(parts[0].alias("g"), parts[2].alias("s"), "n").filter("length(g) > 2")
     people = people.groupBy("g", "s").agg(F.sum("n").alias("n"))
-    width = people.groupBy("s").agg(F.count("*").alias("width"))
-    narrow = people.join(width.filter(F.col("width") <= LEARN_WIDTH).select("s"), "s", "left_semi")
-    all_of = narrow.groupBy("g").agg(F.count("*").alias("surnames"), F.sum("n").alias("total"))
-    other = narrow.select("s", F.col("g").alias("full"), F.col("n").alias("m"))
-    seen = narrow.join(other, "s").filter("g != full and m > n").groupBy("g", "full").agg(F.count("*").alias("together"))
-    chosen = seen.join(all_of, "g").join(all_of.select(F.col("g").alias("full"), F.col("total").alias("full_total")), "full")
+    all_of = people.groupBy("g").agg(F.count("*").alias("surnames"), F.sum("n").alias("total")).filter("surnames >= 2")
+    known = people.join(all_of, "g")
+    other = known.select("s", F.col("g").alias("full"), F.col("n").alias("m"), F.col("total").alias("full_total"))
+    pairs = known.join(other, "s").filter((F.col("m") > F.col("n")) & (F.col("total") * RARER < F.col("full_total") * 4))
+    seen = pairs.groupBy("g", "full", "surnames").agg(F.count("*").alias("together"))
     often = (F.col("together") >= LEARN_SURNAMES) & (F.col("together") >= LEARN_SHARE * F.col("surnames"))
     alike = (F.col("together") == F.col("surnames")) & (F.col("together") >= 2) & (F.substring("g", 1, 1) == F.substring("full", 1, 1))
-    return chosen.filter((often | alike) & (F.col("total") * RARER < F.col("full_total") * 4)).select(F.col("g").alias("short"), "full")
+    return seen.filter(often | alike).select(F.col("g").alias("short"), "full")
 
 
 def entities(spellings: DataFrame, name_forms: DataFrame) -> DataFrame:

@@ -53,3 +53,10 @@ def test_ambiguous_initials_stay_apart(spark):
     forms = spark.createDataFrame([], "short_form string, full_form string")
     assert S.spelling_pairs(papers(spark, rows), forms).count() == 0
     assert S.spelling_pairs(papers(spark, rows).limit(0), forms).count() == 0
+
+
+def test_nicknames_are_learned_from_wide_surnames(spark):
+    rows = [("author", f"filler{s}x{i}||{s}", 1) for s in ("aa", "bb", "cc") for i in range(70)]
+    rows += [("author", f"{g}||{s}", n) for s in ("aa", "bb", "cc") for g, n in (("robert", 100), ("bob", 5), ("maria", 6))]
+    got = S.learned_nicknames(spark.createDataFrame(rows, "kind string, form string, n bigint"))
+    assert {(r.short, r.full) for r in got.collect()} == {("bob", "robert"), ("maria", "robert")}
