@@ -1,4 +1,4 @@
-"""Sentence boundaries in texts of any language or script, by a finite transducer.
+"""Sentence boundaries in texts of any language or script, by a transducer.
 
 A text is first read as a sequence of symbols: openers and closers of quotations and brackets, end marks (each judged
 by its neighbourhood: abbreviation, initial, decimal, ordinal, what follows), spaces in Thai, line breaks before list
@@ -6,8 +6,8 @@ items, and blank lines. The transducer runs over the symbols; its state is the s
 depth), whether the outermost of it opened the sentence, and whether the sentence has begun at all. Symbols that
 end a sentence do so only when nothing is open, and a blank line always leads to the start state.
 
-A long document is cut into chunks; each is processed as the function from the state before it to the state after it
-and the boundaries it emits, for every state that can occur, and the functions are composed by a prefix scan.
+A long document is cut into chunks, which are run in sequence: each gives the state after it and its boundaries for the
+one state that the chunk before it ends in.
 """
 
 from __future__ import annotations
