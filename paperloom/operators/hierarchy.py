@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.staging import stage, unstage
+from paperloom.staging import spread_of, stage, unstage
 
 #: Siblings that one task sums over.
 BLOCK = 8192
@@ -106,7 +106,7 @@ def _offsets(nodes: DataFrame, order: list[str]) -> DataFrame:
     A parent may have any number of children: they are spread over blocks of the sorted rows, sums within blocks and
     over blocks being separate steps.
     """
-    spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = spread_of(nodes)
     keys = [F.col("parent").asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order], F.col("id").asc()]
     placed = stage(
         nodes.repartitionByRange(spread, *keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()).withColumn("block", F.floor(F.col("at") / BLOCK).cast("bigint"))

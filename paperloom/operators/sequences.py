@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.staging import stage
+from paperloom.staging import spread_of, stage
 
 #: Rows of a block.
 BLOCK = 4096
@@ -24,7 +24,7 @@ def scan_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column], val
     Each value is (how, expression): ``sum``, ``max``, ``min``, or ``last`` (the last value that isn't null). A group's
     first row has null. ``order`` must be total within a group for a defined result. Null keys are a group.
     """
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = spread_of(df)
     named = df.select("*", *[e.alias(f"_v_{n}") for n, (_, e) in values.items()])
     sort = [*[F.col(k).asc_nulls_first() for k in keys], *order]
     placed = stage(
