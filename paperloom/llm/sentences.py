@@ -1,13 +1,13 @@
-"""Sentence boundaries in texts of any language or script, by a transducer.
+"""Sentence boundaries in texts of any language or script, by a finite transducer.
 
-A text is first read as a sequence of symbols: openers and closers of quotations and brackets, end marks (each judged
-by its neighbourhood: abbreviation, initial, decimal, ordinal, what follows), spaces in Thai, line breaks before list
-items, and blank lines. The transducer runs over the symbols; its state is the stack of what is open (of any
-depth), whether the outermost of it opened the sentence, and whether the sentence has begun at all. Symbols that
-end a sentence do so only when nothing is open, and a blank line always leads to the start state.
+First quotations and brackets are paired, whatever their depth or length. What stands outside of them is then read as
+symbols: plain words, ends (each end mark, line break before a list item and space in Thai being judged by its
+neighbourhood: abbreviation, initial, decimal, ordinal, what follows), numbers, blank lines, openers and closers. The
+rules of how symbols make sentences are a table of four states by nine symbols: the next state, and whether a boundary
+is put out.
 
-A long document is cut into chunks, which are run in sequence: each gives the state after it and its boundaries for the
-one state that the chunk before it ends in.
+A long document is cut into chunks between any two letters. Each chunk is judged apart and gives a function over all
+states; functions are composed associatively, by prefix scan, which tells the state before each chunk.
 """
 
 from __future__ import annotations
@@ -17,14 +17,21 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from paperloom.staging import spread_of, stage
 
 #: Characters on either side in which the neighbours of a list item's number are looked for.
 SPAN = 1500
 #: Characters of a chunk; longer documents are cut.
-CHUNK = 1 << 16
+CHUNK = 1 << 15
+#: Characters around a chunk by which its symbols are judged, more than any rule looks at besides white space.
+REACH = 2048
 
 # ---- Fixed values: marks -------------------------------------------------------------------------------------------
 #: End marks that end a sentence whatever follows.
@@ -81,29 +88,34 @@ _LINE = r"(?:\r\n|[\n\r\x85\u2028\u2029])"
 _BLANK = re.compile(rf"{_LINE}[^\S\n\r\x85\u2028\u2029]*{_LINE}\s*")
 _ITEM = r"(?:[•◦▪▫‣⁃●○■□*·∙–—-]|\(?\d{1,3}[.)]|（\d{1,3}）|\d{1,3}[、．]|\(?[a-zA-Z][)])"
 _LINES = "\n\r\x85\u2028\u2029"
-_FIRST = "".join(dict.fromkeys(MARKS + "".join(PAIRS) + "".join(PAIRS.values()) + _LINES))
+_FIRST = MARKS + _LINES
 #: The characters that symbols start with; ";" and spaces only where Greek or Thai occurs.
 _EVENT, _EVENT_ALL = re.compile(f"[{re.escape(_FIRST)}]"), re.compile(f"[{re.escape(_FIRST)}; \t\xa0]")
+#: Openers and closers.
+_QUOTE = re.compile("[" + re.escape("".join(dict.fromkeys("".join(PAIRS) + "".join(PAIRS.values())))) + "]")
 _RARE = re.compile("[Ͱ-Ͽἀ-῿]{3}|[฀-๿]")
 _GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
 _RUN = re.compile(f"[{re.escape(MARKS)}]+")
 _BREAK = re.compile(rf"(?P<blank>{_LINE}[^\S{_LINES}]*{_LINE}\s*)|(?P<item>{_LINE}[^\S{_LINES}]*(?={_ITEM}[^\S{_LINES}]))")
 _THAI_SPACE = re.compile(rf"[^\S{_LINES}]+(?=[฀-๿])")
 _MARKSET, _LINESET = set(MARKS), set(_LINES)
-_MARKER = regex.compile(r"\s*(?:(?:[•◦▪▫‣⁃●○■□*·∙–—-]|\(?\d{1,3}[.)]|（\d{1,3}）|\d{1,3}[、．]|\(?[a-zA-Z][)])\s+)?(?:(?:\p{Lu}\p{L}{0,9}|\p{L}{1,2})\s?[:：]\s*)?")
+#: A list mark and a label that end where an opener stands, and what they end with.
+_LABEL = regex.compile(r"(?:(?:[•◦▪▫‣⁃●○■□*·∙–—-]|\(?\d{1,3}[.)]|（\d{1,3}）|\d{1,3}[、．]|\(?[a-zA-Z][)])\s+)?(?:(?:\p{Lu}\p{L}{0,9}|\p{L}{1,2})\s?[:：]\s*)?\Z")
+_LABEL_ENDS = "•◦▪▫‣⁃●○■□*·∙–—-.)）、．:："
+#: Two letters of one word that is no label.
+_JOINT = regex.compile(r"(?<=[\p{L}\p{M}])\p{L}(?:[\p{L}\p{M}]{12}|[\p{L}\p{M}]{0,11}+(?!\s?[:：]))")
 _NOTE = re.compile(r"(?:\[\s?\d(?:[\d\s,;，、–-]{0,24}\d)?\s?\])*")
 _PART = r"[\p{L}\p{M}\p{N}°º§--\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]"
 #: In scripts without spaces a line break may part a note from its mark.
 _WRAPPED_NOTE = regex.compile(rf"\r?\n\[\s?\d(?:[\d\s,;，、–-]{{0,24}}\d)?\s?\](?=[{_CJK}])")
 _NOTES = re.compile(r"(?:\[\s?\d(?:[\d\s,;，、–-]{0,24}\d)?\s?\])+$")
 _WORD = regex.compile(rf"{_PART}(?:(?:{_PART}|['’.-])*{_PART})?$", regex.V1)
+_LAST = regex.compile(_PART, regex.V1)
 _BEFORE = regex.compile(r"([\p{L}\p{M}\p{N}'’-]+)[\s.]*$")
 _MIXED = regex.compile(r"\p{Ll}+[\p{Lu}\p{Nd}]")
 _SPACE = re.compile(r"\s*")
 _DIGITS = re.compile(r"\d{1,3}")
 
-State = tuple[str, bool, bool]
-START: State = ("", False, True)
 
 
 def _starts(text: str, at: int) -> bool:
@@ -128,8 +140,9 @@ def _full_stop(text: str, at: int, after: int, item: bool = False) -> bool:
     """Whether the single full stop at ``at`` can end a sentence, given that something that can begin one stands at
     ``after``; ``item`` if that is a list item's mark."""
     word = text[text.rfind(" ", max(0, at - 24), at) + 1 : at] if at > 24 else ""
-    if not (word.isascii() and word.isalpha()):
-        found = _WORD.search(text[max(0, at - 24) : at])
+    if not (word.isalpha() and max(word) < "\u1100"):
+        last = text[max(0, at - 1) : at]
+        found = (last == "\n" or _LAST.match(last)) and _WORD.search(text[max(0, at - 24) : at])
         if not found:
             return True
         word = found[0]
@@ -139,8 +152,10 @@ def _full_stop(text: str, at: int, after: int, item: bool = False) -> bool:
     c = text[after] if after < len(text) else ""
     before_at = at - len(word)
     if word.isdigit():
+        if not (c.isalpha() and c.isupper()):
+            return True
         before = _BEFORE.search(text[max(0, before_at - 16) : before_at])
-        return not (before and before[1].lower() in ORDINAL and c.isalpha() and c.isupper())
+        return not (before and before[1].lower() in ORDINAL)
     if low in MAY:
         if low == "al":
             return item or not (c in "(（" and after + 1 < len(text) and text[after + 1].isdigit())
@@ -167,8 +182,9 @@ def _ends(text: str, start: int, stop: int) -> int:
     end = stop
     while end < n and text[end] in CLOSERS and not (text[end] in "\"'＂" and end + 1 < n and (text[end + 1].isalnum() or end > stop and text[end] == text[stop])):
         end += 1
-    end = _NOTE.match(text, end).end()
-    hard = any(c in HARD for c in mark)
+    if end < n and text[end] == "[":
+        end = _NOTE.match(text, end).end()
+    hard = mark in HARD if len(mark) == 1 else any(c in HARD for c in mark)
     if hard and (wrapped := _WRAPPED_NOTE.match(text, end)):
         end = wrapped.end()
     after = _SPACE.match(text, end).end()
@@ -337,129 +353,269 @@ def _closed_by(text: str, at: int, blanks: list[int], seen: dict) -> str:
     return by
 
 
-def transduce(text: str, lo: int, hi: int, state: State, blanks: list[int], seen: dict | None = None) -> tuple[State, list[int]]:
-    """(state after, boundaries): the transducer over the symbols of text[lo:hi], from ``state``.
+# ---- pairs ----------------------------------------------------------------------------------------------------------
+def covered(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, closed) of the outermost quotations and brackets of a text, in order, whatever their depth or length.
 
-    ``blanks`` are the positions of blank lines; openers look for their closers up to the next of them. ``seen`` is for
-    all calls over one text.
-    """
-    seen = {} if seen is None else seen
-    stack, lead, fresh = state
-    cuts: list[int] = []
-    cut = cuts.append
-    since, skip, n = lo, lo, len(text)
-    for m in (_EVENT_ALL if _RARE.search(text) else _EVENT).finditer(text, lo):
+    ``end`` is the closer, or for one that crossing pairs leave open the blank line or the end of the text."""
+    n = len(text)
+    first = _QUOTE.search(text)
+    if not first:
+        return []
+    blanks = [m.start() for m in _BLANK.finditer(text)]
+    ends = iter([*blanks, n, n + 1])
+    limit, out, stack, since, seen = next(ends), [], "", 0, {}
+    for m in _QUOTE.finditer(text, first.start()):
         at = m.start()
-        if at >= hi:
-            break
-        if at < skip:
-            continue
-        c = text[at]
-        if c in _MARKSET:
+        if at > limit:
             if stack:
-                continue
-            if c == ".":  # most full stops are settled by what follows
-                d = text[at + 1 : at + 3]
-                if d and (d[0].islower() or d[0].isdigit() or d[0] in ",;") and not (at and _IS_CJK.match(text, at - 1)):
-                    continue
-                if len(d) == 2 and d[0] == " " and d[1].islower() and not _MIXED.match(text, at + 2):
-                    continue
-            stop = _RUN.match(text, at).end() if at + 1 < n and text[at + 1] in _MARKSET else at + 1
-            skip = stop
-            if fresh and c == "." and _DIGITS.fullmatch(text[since:at].strip().lstrip("(")):
-                continue  # the number of a list item
-            end = _ends(text, at, stop)
-        elif c in _LINESET:
-            line = _BREAK.match(text, at)
-            if line is None:
-                continue
-            skip = line.end()
-            if line.lastgroup == "blank":
-                cut(at)
-                stack, lead, fresh, since = "", False, True, skip
-                continue
-            mark = text[skip]
-            end = at if not stack and (mark in "•◦▪▫‣⁃●○■□*·∙-" or _line_ended(text, at) or _in_sequence(text, at, skip)) else -1
-        elif c in " \t\xa0":
-            space = not stack and at and "\u0e00" <= text[at - 1] <= "\u0e7f" and _THAI_SPACE.match(text, at)
-            end = at if space else -1
-        elif c == ";":
-            if stack or not _asks(text, at):
-                continue
-            after = _SPACE.match(text, at + 1).end()
-            end = at + 1 if after > at + 1 and _starts(text, after) else -1
-        else:
-            if stack and c in stack[-1] or stack and c in stack and c not in '"＂':
-                stack = stack[: stack.rindex(c)]
-                # a closer with several forms keeps the others out of the stack
-                if stack or not _ended_inside(text, at):
-                    continue
-                end = _after_closer(text, at + 1, lead, c in ")]}）］｝】〕〗")
-            elif c in PAIRS and at + 1 < n and not (c in '"＂' and (text[at + 1].isspace() or at and text[at - 1].isdigit())):
-                closer = _closed_by(text, at, blanks, seen)
-                if not closer:
-                    continue
+                out.append((since, limit, False))
+                stack = ""
+            while at > limit:
+                limit = next(ends)
+        c = text[at]
+        if stack and (c == stack[-1] or c in stack and c not in '"＂'):
+            stack = stack[: stack.rindex(c)]
+            if not stack:
+                out.append((since, at, True))
+        elif c in PAIRS and at + 1 < n and not (c in '"＂' and (text[at + 1].isspace() or at and text[at - 1].isdigit())):
+            closer = _closed_by(text, at, blanks, seen)
+            if closer:
                 if not stack:
-                    lead = fresh and _MARKER.fullmatch(text, since, at) is not None
+                    since = at
                 stack += closer
+    if stack:
+        out.append((since, limit, False))
+    return out
+
+
+# ---- the transducer -------------------------------------------------------------------------------------------------
+#: States: nothing but a list mark or a label since the last boundary; a sentence has begun; in a quotation or bracket
+#: that opened the sentence; in another one.
+FRESH, BEGUN, LED, HELD = range(4)
+STATES = (FRESH, BEGUN, LED, HELD)
+#: Symbols: plain words, an end, a full stop after a number, a blank line, an opener, and closers by the states of
+#: theirs after which they end the sentence: neither, both, LED, HELD.
+WORDS, END, NUMBER, BLANK, OPEN, CLOSE, CLOSE_BOTH, CLOSE_LED, CLOSE_HELD = range(9)
+#: NEXT[state, symbol] and whether a boundary is put out (CUTS[state, symbol]).
+NEXT = np.array(
+    [
+        [BEGUN, FRESH, FRESH, FRESH, LED, FRESH, FRESH, FRESH, FRESH],
+        [BEGUN, FRESH, FRESH, FRESH, HELD, BEGUN, BEGUN, BEGUN, BEGUN],
+        [LED, LED, LED, FRESH, LED, FRESH, FRESH, FRESH, BEGUN],
+        [HELD, HELD, HELD, FRESH, HELD, BEGUN, FRESH, BEGUN, FRESH],
+    ],
+    np.int8,
+)
+CUTS = np.array(
+    [
+        [0, 1, 0, 1, 0, 0, 0, 0, 0],
+        [0, 1, 1, 1, 0, 0, 0, 0, 0],
+        [0, 0, 0, 1, 0, 0, 1, 1, 0],
+        [0, 0, 0, 1, 0, 0, 1, 0, 1],
+    ],
+    np.int8,
+)
+_NEXT, _CUTS = NEXT.tolist(), CUTS.tolist()
+
+
+def _label_start(text: str, at: int) -> int:
+    """Where a list mark or a label right before ``at`` starts, white space before it included; ``at`` is an opener."""
+    p = at
+    while p and text[p - 1].isspace():
+        p -= 1
+    if p and text[p - 1] in _LABEL_ENDS and (m := _LABEL.search(text, max(0, at - 96), at)):
+        p = m.start()
+        while p and text[p - 1].isspace():
+            p -= 1
+    return p
+
+
+def _number_start(text: str, at: int) -> int:
+    """Where a number of up to three digits right before ``at`` starts, with brackets and white space before it, or -1."""
+    p = at
+    while p and text[p - 1].isdigit():
+        p -= 1
+    if not 0 < at - p <= 3:
+        return -1
+    while p and text[p - 1] == "(":
+        p -= 1
+    while p and text[p - 1].isspace():
+        p -= 1
+    return p
+
+
+def symbols(text: str, lo: int, hi: int, pairs: list[tuple[int, int, bool]], rare: bool) -> tuple[list[int], list[int]]:
+    """(places, symbols) of text[lo:hi], each judged by its neighbourhood alone; a place is where its boundary would be.
+
+    ``pairs`` are those of ``covered`` that touch the stretch; ``rare`` tells whether the text has Greek or Thai. What
+    stands in a pair gives no symbol.
+    """
+    at_of, kinds = [], []
+    put_at, put_kind = at_of.append, kinds.append
+    events, skip, n = _EVENT_ALL if rare else _EVENT, lo, len(text)
+
+    def words(p: int) -> None:
+        """Plain words up to p, put before all that could cut there or later."""
+        if p > 0:
+            i = bisect_left(at_of, p)
+            at_of.insert(i, p)
+            kinds.insert(i, WORDS)
+
+    if lo:
+        put_at(lo)
+        put_kind(WORDS)
+    here = lo
+    for opener, closer, closed in [*pairs, (hi, hi, False)]:
+        for m in events.finditer(text, here, min(opener, hi)) if here < opener else ():
+            at = m.start()
+            if at < skip:
                 continue
-            else:
-                continue
-        if end >= 0:
-            cut(end)
-            fresh, since, skip = True, end, end
-        # otherwise the sentence goes on; the text before this symbol counts as begun once an opener asks
-    if fresh and _MARKER.fullmatch(text, min(since, hi), hi) is None:
-        fresh = False
-    return (stack, lead if stack else False, fresh), cuts
+            c = text[at]
+            if c in _MARKSET:
+                if c == ".":  # most full stops are settled by what follows
+                    d = text[at + 1 : at + 3]
+                    if d and (d[0].islower() or d[0].isdigit() or d[0] in ",;") and not (at and _IS_CJK.match(text, at - 1)):
+                        continue
+                    if len(d) == 2 and d[0] == " " and d[1].islower() and not _MIXED.match(text, at + 2):
+                        continue
+                stop = _RUN.match(text, at).end() if at + 1 < n and text[at + 1] in _MARKSET else at + 1
+                skip = stop
+                end = _ends(text, at, stop)
+                if end < 0:
+                    continue
+                skip = end
+                number = _number_start(text, at) if c == "." else -1
+                if number < 0:
+                    put_at(end)
+                    put_kind(END)
+                else:
+                    words(number)
+                    put_at(end)
+                    put_kind(NUMBER)
+            elif c in _LINESET:
+                line = _BREAK.match(text, at)
+                if line is None:
+                    continue
+                skip = line.end()
+                if line.lastgroup == "blank":
+                    put_at(at)
+                    put_kind(BLANK)
+                elif text[skip] in "•◦▪▫‣⁃●○■□*·∙-" or _line_ended(text, at) or _in_sequence(text, at, skip):
+                    put_at(at)
+                    put_kind(END)
+            elif c == ";":
+                if _asks(text, at):
+                    after = _SPACE.match(text, at + 1).end()
+                    if after > at + 1 and _starts(text, after):
+                        put_at(at + 1)
+                        put_kind(END)
+            elif at and "\u0e00" <= text[at - 1] <= "\u0e7f" and _THAI_SPACE.match(text, at):
+                put_at(at)
+                put_kind(END)
+        if opener >= hi or closed and closer < skip:
+            continue
+        if opener >= lo:
+            words(_label_start(text, opener))
+            put_at(max(opener, skip))
+            put_kind(OPEN)
+        if not closed or closer >= hi:
+            here = min(closer, hi)
+            continue
+        here, kind, end = closer + 1, CLOSE, closer
+        if _ended_inside(text, closer):
+            bracket = text[closer] in ")]}）］｝】〕〗"
+            led, held = _after_closer(text, here, True, bracket), _after_closer(text, here, False, bracket)
+            if led >= 0 or held >= 0:
+                kind = CLOSE_BOTH if led >= 0 and held >= 0 else CLOSE_LED if led >= 0 else CLOSE_HELD
+                skip = end = max(led, held)
+        put_at(end)
+        put_kind(kind)
+    return at_of, kinds
+
+
+def run_table(places: list[int], kinds: list[int], state: int = FRESH) -> list[int]:
+    """The boundaries that the transducer puts out from one state."""
+    out = []
+    for at, kind in zip(places, kinds):
+        if _CUTS[state][kind]:
+            out.append(at)
+        state = _NEXT[state][kind]
+    return out
+
+
+def scan(functions: np.ndarray) -> np.ndarray:
+    """The compositions of all prefixes of state functions (rows: the state after, for every state before), by a
+    parallel prefix scan: log rounds of independent compositions."""
+    out, step = functions.copy(), 1
+    while step < len(out):
+        out[step:] = np.take_along_axis(out[step:], out[:-step].astype(np.intp), 1)
+        step *= 2
+    return out
 
 
-_INSIDE = regex.compile(r"[\p{L}\p{M} ]{30}")
+def chunk_function(kinds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(state after for every state before, for every symbol a mask of the states before the chunk from which it puts
+    out a boundary): the chunk as a function over all states."""
+    each = np.array(kinds, np.intp)
+    if not len(each):
+        return np.array(STATES, np.int8), np.zeros(0, np.int8)
+    after = scan(NEXT[:, each].T)
+    before = np.concatenate((np.array([STATES], np.int8), after[:-1])).astype(np.intp)
+    bits = CUTS[before, each[:, None]] << np.arange(len(STATES))
+    return after[-1], bits.sum(1).astype(np.int8)
 
 
 def chunk_starts(text: str, size: int) -> list[int]:
-    """Where the chunks of a text start: after about ``size`` characters, at the next place well inside a sentence, so
-    that no symbol and no list mark lies across it."""
+    """Where the chunks of a text start: after ``size`` characters, at the next place between two letters of a word that
+    is no label, whatever the script. Nothing that is judged as one lies across it."""
     starts, at = [0], size
-    while at < len(text) - size // 4 and (inside := _INSIDE.search(text, at)):
-        starts.append(inside.end())
-        at = inside.end() + size
+    while at < len(text) and (joint := _JOINT.search(text, at)):
+        starts.append(joint.start())
+        at = joint.start() + size
     return starts
 
 
-def chunk_function(text: str, lo: int, hi: int, blanks: list[int], states: set[State], seen: dict | None = None) -> dict[State, tuple[State, list[int]]]:
-    """A chunk as the function of the state before it, for the given states: (state after, boundaries)."""
-    return {state: transduce(text, lo, hi, state, blanks, seen) for state in states}
-
-
-def compose(first: dict, second: dict) -> dict:
-    """Two chunk functions as one; ``second`` must know the states that ``first`` ends in. Associative."""
-    return {state: (second[mid][0], cuts + second[mid][1]) for state, (mid, cuts) in first.items()}
+def window(text: str, lo: int, hi: int) -> tuple[int, int]:
+    """The part of a text that the symbols of text[lo:hi] are judged by: ``REACH`` characters on both sides, more where
+    they are nearly all white space."""
+    a, b = max(0, lo - REACH), min(len(text), hi + REACH)
+    while a and sum(map(len, text[a:lo].split())) < 200:
+        a = max(0, a - REACH)
+    while b < len(text) and sum(map(len, text[hi:b].split())) < 200:
+        b = min(len(text), b + REACH)
+    return a, b
+
+
+def cut_chunks(text: str, size: int) -> list[tuple[int, int, int, int, list[tuple[int, int, bool]]]]:
+    """(lo, hi, a, b, pairs) of the chunks of a text: a chunk's symbols are told from text[a:b] and the pairs alone."""
+    starts, pairs, out, k = chunk_starts(text, size), covered(text), [], 0
+    for lo, hi in zip(starts, [*starts[1:], len(text)]):
+        while k < len(pairs) and pairs[k][1] < lo:
+            k += 1
+        j = k
+        while j < len(pairs) and pairs[j][0] < hi:
+            j += 1
+        out.append((lo, hi, *window(text, lo, hi), pairs[k:j]))
+    return out
 
 
-def scan(functions: list[dict]) -> list[dict]:
-    """The compositions of all prefixes of chunk functions, by a parallel prefix scan (log rounds of independent
-    compositions)."""
-    out, step = list(functions), 1
-    while step < len(out):
-        out = [compose(out[i - step], out[i]) if i >= step else out[i] for i in range(len(out))]
-        step *= 2
-    return out
+def chunk_symbols(piece: str, lo: int, hi: int, a: int, pairs: list[tuple[int, int, bool]], rare: bool) -> tuple[list[int], list[int]]:
+    """``symbols`` of a chunk given as the piece of the text from ``a`` on; places are those of the whole text."""
+    places, kinds = symbols(piece, lo - a, hi - a, [(p - a, q - a, closed) for p, q, closed in pairs], rare)
+    return [x + a for x in places], kinds
 
 
 def boundaries(text: str, size: int = CHUNK) -> list[int]:
-    """The ends of the sentences of a text, ascending; white space before a boundary is not cut off yet."""
-    blanks = [m.start() for m in _BLANK.finditer(text)]
-    starts = chunk_starts(text, size)
-    if len(starts) == 1:
-        return transduce(text, 0, len(text), START, blanks)[1]
-    ends = [*starts[1:], len(text)]
-    # states that can stand before each chunk: those that the chunk before can end in
-    states, functions, seen = {START}, [], {}
-    for lo, hi in zip(starts, ends):
-        functions.append(chunk_function(text, lo, hi, blanks, states, seen))
-        states = {after for after, _ in functions[-1].values()}
-    return sorted(set(scan(functions)[-1][START][1]))
+    """The ends of the sentences of a text, ascending; white space before a boundary is not cut off yet. Chunks are
+    judged apart, each as a function over all states, and composed by prefix scan."""
+    rare = _RARE.search(text) is not None
+    if len(text) <= size:
+        return run_table(*symbols(text, 0, len(text), covered(text), rare))
+    chunks = [chunk_symbols(text[a:b], lo, hi, a, pairs, rare) for lo, hi, a, b, pairs in cut_chunks(text, size)]
+    functions = [chunk_function(kinds) for _, kinds in chunks]
+    entered = [FRESH, *scan(np.array([f for f, _ in functions]))[:-1, FRESH].tolist()]
+    return [at for (places, _), (_, masks), state in zip(chunks, functions, entered) for at, m in zip(places, masks.tolist()) if m >> state & 1]
 
 
 def sentences(text: str | None, size: int = CHUNK) -> list[tuple[int, int]]:
@@ -480,12 +636,8 @@ def sentences(text: str | None, size: int = CHUNK) -> list[tuple[int, int]]:
     return out
 
 
-def split_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start_at bigint, end_at bigint): the sentences of every row's text, by code points.
-
-    A null, empty or blank text gives no row; repeated rows give repeated rows; other columns are not read. No shuffle.
-    """
-    kind = dict(df.dtypes)[id_col]
+def _whole(id_col: str):
+    """An Arrow function over (id, text): the sentences of texts that are no longer than a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -499,4 +651,98 @@ def split_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 spans = np.array(places, np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(own, pa.int64())), pa.array(spans[:, 0]), pa.array(spans[:, 1])], names=[id_col, "start_at", "end_at"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, start_at bigint, end_at bigint")
+    return run
+
+
+#: A chunk as a row; pairs are flattened.
+CHUNK_ROW = "doc bigint, chunk int, lo bigint, hi bigint, a bigint, last boolean, rare boolean, pairs array<bigint>, piece string"
+_CHUNK_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.string()]
+
+
+def _to_chunks(size: int):
+    """An Arrow function over (id, text): the chunks of every text, with what their symbols are judged by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            ids = batch.column(0)
+            for k in range(len(ids)):
+                text = batch.column(1)[k].as_py()
+                rare = _RARE.search(text) is not None
+                chunks = cut_chunks(text, size)
+                for at in range(0, len(chunks), 64):
+                    rows = [
+                        (doc, at + i, lo, hi, a, hi == len(text), rare, [int(x) for p in pairs for x in p], text[a:b])
+                        for i, (lo, hi, a, b, pairs) in enumerate(chunks[at : at + 64])
+                    ]
+                    columns = [pa.array(x, t) for x, t in zip(zip(*rows), _CHUNK_TYPES)]
+                    own = ids.take(pa.array([k] * len(rows), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([own, *columns], names=["id", *[c.split()[0] for c in CHUNK_ROW.split(", ")]])
+                doc += 1
+
+    return run
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An Arrow function over chunks: each as a function over all states, with its boundaries. A boundary has where the
+    sentence before it ends, where the one after it begins, and a mask of the states before the chunk that put it out.
+    The text's start and end are boundaries from every state."""
+    cut = pa.struct([("ends", pa.int64()), ("begins", pa.int64()), ("mask", pa.int32())])
+    for batch in batches:
+        after, cuts = [], []
+        for r in batch.select(["lo", "hi", "a", "last", "rare", "pairs", "piece"]).to_pylist():
+            piece, lo, hi, a, p = r["piece"], r["lo"], r["hi"], r["a"], r["pairs"]
+            pairs = [(p[i], p[i + 1], bool(p[i + 2])) for i in range(0, len(p), 3)]
+            places, kinds = chunk_symbols(piece, lo, hi, a, pairs, r["rare"])
+            function, masks = chunk_function(kinds)
+            own = [{"ends": -1, "begins": _SPACE.match(piece, 0).end(), "mask": 15}] if not lo else []
+            for at, mask in [*zip(places, masks.tolist()), *([(hi, 15)] if r["last"] else [])]:
+                if mask:
+                    end = at - a
+                    while end and piece[end - 1].isspace():
+                        end -= 1
+                    own.append({"ends": end + a, "begins": _SPACE.match(piece, at - a).end() + a, "mask": mask})
+            after.append(function.tolist())
+            cuts.append(own)
+        columns = [batch.column("id"), batch.column("doc"), batch.column("chunk"), pa.array(after, pa.list_(pa.int32())), pa.array(cuts, pa.list_(cut))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "doc", "chunk", "after", "cuts"])
+
+
+def _entered(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The state before every chunk of a document: the prefix scan over its functions, from the start."""
+    pdf = pdf.sort_values("chunk")
+    states = [FRESH, *scan(np.array(pdf["after"].tolist(), np.int8))[:-1, FRESH].tolist()]
+    return pd.DataFrame({"doc": key[0], "chunk": pdf["chunk"], "state": states})
+
+
+def split_long(df: DataFrame, id_col: str, size: int = CHUNK) -> DataFrame:
+    """``split_sentences`` of the texts that are longer than a chunk: (id, text) without nulls.
+
+    A document's chunks are judged in tasks of their own, each as a function over all states of the transducer; the
+    functions (four numbers a chunk) are composed by prefix scan, which tells the state before each chunk and with it
+    which of its boundaries hold. Sentences across chunks run from the last boundary before to the first one after.
+    """
+    kind = dict(df.dtypes)[id_col]
+    chunks = df.mapInArrow(_to_chunks(size), f"id {kind}, {CHUNK_ROW}")
+    # a fixed number of partitions, so that the chunks of one document are not put together again
+    spread = chunks.repartition(spread_of(df), "doc", "chunk")
+    judged = stage(spread.mapInArrow(_judged, f"id {kind}, doc bigint, chunk int, after array<int>, cuts array<struct<ends: bigint, begins: bigint, mask: int>>"))
+    states = judged.select("doc", "chunk", "after").groupBy("doc").applyInPandas(_entered, "doc bigint, chunk int, state int")
+    held = judged.drop("after").join(states, ["doc", "chunk"]).withColumn("cuts", F.expr("filter(cuts, x -> shiftright(x.mask, state) % 2 = 1)"))
+    # one row a chunk here
+    before = Window.partitionBy("doc").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    open_ = held.withColumn("open", F.last(F.when(F.size("cuts") > 0, F.element_at("cuts", -1)["begins"]), ignorenulls=True).over(before)).filter("size(cuts) > 0")
+    spans = F.expr("concat(array(struct(open as start_at, cuts[0].ends as end_at)), transform(slice(cuts, 2, size(cuts)), (x, i) -> struct(cuts[i].begins as start_at, x.ends as end_at)))")
+    return open_.select("id", F.explode(spans).alias("s")).filter("s.start_at < s.end_at").select(F.col("id").alias(id_col), "s.start_at", "s.end_at")
+
+
+def split_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK) -> DataFrame:
+    """(id, start_at bigint, end_at bigint): the sentences of every row's text, by code points.
+
+    A null, empty or blank text gives no row; repeated rows give repeated rows; other columns are not read. Texts of up
+    to ``size`` characters need no shuffle; of longer ones the chunks are spread over tasks (``split_long``).
+    """
+    own = df.select(id_col, text_col)
+    long = F.length(text_col) > size
+    short = own.filter(~long).mapInArrow(_whole(id_col), f"`{id_col}` {dict(df.dtypes)[id_col]}, start_at bigint, end_at bigint")
+    return short.unionByName(split_long(own.filter(long), id_col, size))

@@ -1,6 +1,8 @@
 import random
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,18 +80,44 @@ def test_every_character_once_and_chunks_change_nothing():
             assert S.sentences(text, size) == found
 
 
-def test_composition_is_associative():
-    text = "He said \"words that go on and on for a long while. And more words that go on and on\" and then he left the room. " * 4
-    starts = S.chunk_starts(text, 80)
-    assert len(starts) > 3
-    ends, states, functions = [*starts[1:], len(text)], {S.START}, []
-    for lo, hi in zip(starts, ends):
-        functions.append(S.chunk_function(text, lo, hi, [], states))
-        states = {s for s, _ in functions[-1].values()}
+def test_chunks_are_functions_over_all_states():
+    text = "He said \"words that go on. And more words\" and left. Nobody knew why (it is so. Really.) and so on. " * 6
+    functions = []
+    for lo, hi, a, b, pairs in S.cut_chunks(text, 80):
+        places, kinds = S.chunk_symbols(text[a:b], lo, hi, a, pairs, False)
+        after, masks = S.chunk_function(kinds)
+        functions.append(after)
+        for state in S.STATES:  # each state's run through the table
+            end = state
+            for kind in kinds:
+                end = S.NEXT[end, kind]
+            assert after[state] == end
+            assert S.run_table(places, kinds, state) == [at for at, m in zip(places, masks.tolist()) if m >> state & 1]
+    assert len(functions) > 5
+    all_of = S.scan(np.array(functions))
     left = functions[0]
-    for f in functions[1:]:
-        left = S.compose(left, f)
-    assert S.scan(functions)[-1][S.START] == left[S.START]
+    for f, composed in zip(functions[1:], all_of[1:]):
+        left = f[left]
+        assert left.tolist() == composed.tolist()
+
+
+@pytest.mark.parametrize("unit", ["今天很好。我们去吧！“你好。”他说。", "ไปไหน มาไหน ไปเถอะ ", "He came. We saw. (It is. So.) Go! ", "x" * 40 + ". Y (a [b. c] d. "])
+def test_cut_anywhere_in_any_script(unit):
+    text = unit * 400
+    assert len(S.cut_chunks(text, 500)) > 8
+    assert S.sentences(text, 500) == S.sentences(text, len(text))
+
+
+def test_a_long_document_spreads_over_tasks(spark, tmp_path):
+    text = "今天很好。我们去吧！“你好。他说。”如此。" * 20_000 + "End. (not. closed"
+    pd.DataFrame({"doc_id": [7, 7, 8], "text": [text, text, "Short. One."]}).to_parquet(tmp_path / "t.parquet")
+    df = spark.read.parquet(str(tmp_path / "t.parquet"))
+    chunks = df.filter("doc_id = 7").limit(1).mapInArrow(S._to_chunks(S.CHUNK), f"id bigint, {S.CHUNK_ROW}").repartition(4, "doc", "chunk")
+    rows = chunks.groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) == 4 and sum(r["count"] for r in rows) == len(S.cut_chunks(text, S.CHUNK)) > 8
+    got = sorted((r.doc_id, r.start_at, r.end_at) for r in S.split_sentences(df).collect())
+    want = [(7, a, b) for a, b in S.sentences(text, len(text)) for _ in range(2)] + [(8, a, b) for a, b in S.sentences("Short. One.")]
+    assert got == want
 
 
 def test_table(spark):
