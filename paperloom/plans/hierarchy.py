@@ -23,7 +23,7 @@ def p1_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_below(spark: SparkSession, folder: str) -> DataFrame:
     """(folder_id, below_id, steps): every folder with every folder below it, by range containment."""
-    tree = stage(hierarchy(table(spark, folder, "folder")).select("id", "depth", "lft", "rgt"))
+    tree = stage(hierarchy(table(spark, folder, "folder"), paths=False).select("id", "depth", "lft", "rgt"))
     bits = max(1, tree.count().bit_length())
     outer = tree.select(F.col("id").alias("folder_id"), F.col("depth").alias("d"), "lft", "rgt")
     inner = tree.select(F.col("id").alias("below_id"), F.col("depth").alias("e"), F.col("lft").alias("at"))

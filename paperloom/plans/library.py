@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import metadata as M
 from paperloom.operators import rows as R
-from paperloom.operators.hierarchy import hierarchy
+from paperloom.operators.hierarchy import latest_rows, subtree_sums
 from paperloom.session import table
 
 #: Sort keys that callers may name, with their columns.
@@ -103,12 +103,9 @@ def lib_folder_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lib_folder_totals(spark: SparkSession, folder: str) -> DataFrame:
-    """Papers in each sound folder and all below it: counts are added to every folder on the path."""
-    counts = lib_folder_counts(spark, folder)
-    tree = hierarchy(table(spark, folder, "folder")).select("id", "path_ids")
-    placed = tree.join(counts, F.col("id") == F.col("folder_id"))
-    sums = placed.select(F.explode("path_ids").alias("id"), "papers").groupBy("id").agg(F.sum("papers").alias("papers"))
-    return tree.select("id").join(sums, "id", "left").select("id", F.coalesce("papers", F.lit(0)).cast("bigint").alias("papers"))
+    """Papers in each sound folder and all below it: counts are summed upward over the tree."""
+    own = latest_rows(table(spark, folder, "folder"), "id", "updated_at", ["parent_id", "name", "sort_order"]).select("id", F.col("parent_id").alias("parent"))
+    return subtree_sums(own.join(lib_folder_counts(spark, folder), F.col("id") == F.col("folder_id"), "left"), ("papers",))
 
 
 def lib_dashboard(spark: SparkSession, folder: str) -> DataFrame:
