@@ -1,9 +1,10 @@
 """Rebuilding conversations from message rows.
 
-Messages get parent pointers (to the message before them in their session), and pointers are resolved by iterative
-pointer-jumping joins: in each round every row takes over its target's target, so chains of any length end after a
-logarithmic number of rounds; what reaches no root is an orphan or hangs on a cycle. To keep the rounds cheap and hot
-sessions harmless, the ordered rows are first cut into runs of bounded length and only the runs jump.
+Messages get parent pointers (to the message before them in their session; to none that exists if they have no place in
+it), and pointers are resolved by iterative pointer-jumping joins: in each round every row takes over its target's
+target, so chains of any length end after a logarithmic number of rounds; what reaches no root is an orphan or hangs on
+a cycle. To keep the rounds cheap and hot sessions harmless, the ordered rows are first cut into runs of bounded length
+and the runs jump; a message's root and distance are its run's and its place in it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.staging import stage
+from paperloom.staging import spread_of, stage
 
 #: Spellings of roles after NFKC-free lower casing and trimming.
 ROLES = {
@@ -102,28 +103,30 @@ def resolve_pointers(nodes: DataFrame, id_col: str = "id", parent_col: str = "pa
     return reduce(DataFrame.unionByName, [p.select("id", "root", "distance", "state") for p in parts]).unionByName(cycles)
 
 
-def link_messages(counted: DataFrame, run: int = RUN) -> DataFrame:
-    """The counted messages, ordered within their session: + parent_id, parent_role, turn_no (from 0), root_id.
+def link_messages(counted: DataFrame, run: int = RUN, lost: Column | None = None) -> DataFrame:
+    """The counted messages, ordered within their session: + parent_id, parent_role, turn_no (from 0), root_id, root_role,
+    state.
 
     Order is created_at, then id; rows without a time come last. The rows are range-partitioned in that order, so a
     session of any size spreads over tasks; each is cut into runs of at most ``run`` rows, a run points to the one
-    before it, and the chains of runs are resolved by pointer jumping.
+    before it, and the chains of all runs are resolved by pointer jumping. A message for which ``lost`` holds has no
+    place in the order: it points to a message that isn't there, so it ends as an orphan (its own root, turn 0).
     """
-    order = [F.col("session_id").asc(), F.col("created_at").asc_nulls_last(), F.col("id").asc()]
-    # about one partition for 250k rows, at least those of the session
-    spread = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lost = F.lit(False) if lost is None else lost
+    order = [F.col("session_id").asc(), F.col("lost").asc(), F.col("created_at").asc_nulls_last(), F.col("id").asc()]
+    marked = counted.withColumn("lost", lost)
     placed = stage(
-        counted.repartitionByRange(spread, *order)
+        marked.repartitionByRange(spread_of(marked), *order)
         .sortWithinPartitions(*order)
         .withColumn("at", F.monotonically_increasing_id())
         .withColumn("part", F.shiftright("at", 33).cast("int"))
         .withColumn("chunk", F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / run).cast("bigint"))
     )
-    inside = Window.partitionBy("session_id", "part", "chunk").orderBy("at")
+    inside = Window.partitionBy("session_id", "part", "chunk", F.when(F.col("lost"), F.col("at"))).orderBy("at")
     rows = placed.withColumn("run_id", F.first("at").over(inside)).withColumn("no", F.row_number().over(inside) - 1)
-    rows = rows.withColumn("parent_id", F.lag("id").over(inside)).withColumn("parent_role", F.lag("role").over(inside))
-    runs = placed.groupBy("session_id", "part", "chunk").agg(
-        F.min("at").alias("run_id"), F.max_by("id", "at").alias("last_id"), F.max_by("role", "at").alias("last_role"), F.min_by("id", "at").alias("first_id"), F.count("*").alias("n")
+    rows = rows.withColumn("before", F.lag(F.struct("id", "role")).over(inside))
+    runs = placed.filter("not lost").groupBy("session_id", "part", "chunk").agg(
+        F.min("at").alias("run_id"), F.max_by(F.struct("id", "role"), "at").alias("last"), F.min_by(F.struct("id", "role"), "at").alias("first"), F.count("*").alias("n")
     )
     runs = stage(runs)
     # the run before: the chunk before it in its part, or the last chunk of the part before that has rows at all
@@ -133,49 +136,54 @@ def link_messages(counted: DataFrame, run: int = RUN) -> DataFrame:
     bridges = F.broadcast(spark.createDataFrame(bridge, "part int, before_part int, before_chunk bigint"))
     inner = runs.filter("chunk > 0").withColumn("before_part", F.col("part")).withColumn("before_chunk", F.col("chunk") - 1)
     linked = inner.unionByName(runs.filter("chunk = 0").join(bridges, "part"))
-    before = runs.select(
-        "session_id", F.col("part").alias("before_part"), F.col("chunk").alias("before_chunk"), F.col("run_id").alias("parent"), F.col("n").alias("w"), "last_id", "last_role"
-    )
-    links = stage(
-        linked.select("session_id", "before_part", "before_chunk", "run_id").join(before, ["session_id", "before_part", "before_chunk"]).select("run_id", "parent", "last_id", "last_role")
-    )
-    # only runs of sessions with more than one run need any jumping
-    many = runs.join(runs.groupBy("session_id").count().filter("count > 1"), "session_id", "left_semi")
-    nodes = many.select("run_id", "n").join(links.select("run_id", "parent"), "run_id", "left")
-    solved = resolve_pointers(nodes, "run_id", "parent", "n").select(F.col("id").alias("run_id"), F.col("root").alias("root_run"), "distance")
-    roots = runs.select(F.col("run_id").alias("root_run"), F.col("first_id").alias("far_root"))
-    heads = solved.join(roots, "root_run").join(links.select("run_id", "last_id", "last_role"), "run_id", "left").select("run_id", "far_root", "distance", "last_id", "last_role")
-    out = rows.withColumn("near_root", F.first("id").over(inside)).join(heads, "run_id", "left")
-    first = F.col("no") == 0
+    before = runs.select("session_id", F.col("part").alias("before_part"), F.col("chunk").alias("before_chunk"), F.col("run_id").alias("parent"), "last")
+    links = stage(linked.select("session_id", "before_part", "before_chunk", "run_id").join(before, ["session_id", "before_part", "before_chunk"]).select("run_id", "parent", "last"))
+    # a run weighs as many messages as it has, so that distances are turns; no run has the id -1
+    nodes = runs.select("run_id", "n").join(links.select("run_id", "parent"), "run_id", "left").select("run_id", "parent", "n")
+    nodes = nodes.unionByName(placed.filter("lost").select(F.col("at").alias("run_id"), F.lit(-1).cast("bigint").alias("parent"), F.lit(1).cast("bigint").alias("n")))
+    solved = resolve_pointers(nodes, "run_id", "parent", "n").select(F.col("id").alias("run_id"), F.col("root").alias("root_run"), "distance", "state")
+    roots = runs.select(F.col("run_id").alias("root_run"), F.col("first").alias("root"))
+    heads = solved.join(roots, "root_run", "left").join(links.select("run_id", "last"), "run_id", "left").select("run_id", "root", "distance", "state", "last")
+    out = rows.join(heads, "run_id", "left")
+    parent = F.when(F.col("no") == 0, F.col("last")).otherwise(F.col("before"))
     return out.select(
         *counted.columns,
-        F.when(first, F.col("last_id")).otherwise(F.col("parent_id")).alias("parent_id"),
-        F.when(first, F.col("last_role")).otherwise(F.col("parent_role")).alias("parent_role"),
-        (F.coalesce("distance", F.lit(0)) + F.col("no")).alias("turn_no"),
-        F.coalesce("far_root", "near_root").alias("root_id"),
+        parent["id"].alias("parent_id"),
+        parent["role"].alias("parent_role"),
+        (F.col("distance") + F.col("no")).alias("turn_no"),
+        F.when(F.col("lost"), F.col("id")).otherwise(F.col("root.id")).alias("root_id"),
+        F.when(F.col("lost"), F.col("role")).otherwise(F.col("root.role")).alias("root_role"),
+        "state",
     )
 
 
 def judge(messages: DataFrame, run: int = RUN) -> tuple[DataFrame, DataFrame]:
-    """(counted messages, (session_id, reason) of every session that has a row): reason is null for one to keep."""
+    """(counted messages, (session_id, reason) of every session that has a row): reason is null for one to keep.
+
+    Every reason comes from where the chains of pointers end: a session is empty without a chain of the two speakers;
+    broken if a message is an orphan or on a cycle, if the root is the assistant's, or if its messages are not one path
+    from one root; and lacks a reply if a user's message has no child of the assistant.
+    """
     counted = stage(counted_messages(messages))
-    # the system's words are no part of the exchange: only the two speakers are linked
-    linked = link_messages(counted.filter(F.col("role").isin("USER", "ASSISTANT")), run)
-    speakers = linked.groupBy("session_id").agg(
-        F.count("*").alias("n"),
+    # the system's words are no part of the exchange; who is nobody, or a speaker without a time, has no place in it
+    speaks = F.coalesce(F.col("role").isin("USER", "ASSISTANT"), F.lit(False))
+    linked = link_messages(counted.filter(speaks | F.col("role").isNull()), run, F.col("role").isNull() | F.col("created_at").isNull())
+    paths = linked.groupBy("session_id").agg(
+        F.count("role").alias("n"),
         F.count_if(F.col("role") == "USER").alias("users"),
         F.count_if((F.col("role") == "ASSISTANT") & F.coalesce(F.col("parent_role") == "USER", F.lit(False))).alias("replies"),
-        F.max((F.col("role") == "ASSISTANT") & F.col("parent_id").isNull()).alias("assistant_first"),
-        F.max(F.col("created_at").isNull()).alias("timeless"),
+        F.max(F.coalesce(F.col("state") != "ok", F.lit(True))).alias("astray"),
+        F.max(F.coalesce(F.col("root_role") != "USER", F.lit(True))).alias("answer_first"),
+        (F.min("root_id") != F.max("root_id")).alias("many_roots"),
+        (F.max("turn_no") + 1).alias("leaf"),
     )
-    nobody = counted.groupBy("session_id").agg(F.max(F.col("role").isNull()).alias("nobody"))
     sessions = messages.filter(F.col("session_id").isNotNull()).select("session_id").distinct()
     reason = (
         F.when(F.coalesce("n", F.lit(0)) == 0, "empty")
-        .when(F.coalesce("nobody", F.lit(False)) | F.col("timeless") | F.col("assistant_first"), "broken")
+        .when(F.col("astray") | F.col("answer_first") | F.coalesce("many_roots", F.lit(True)) | (F.coalesce("leaf", F.lit(0)) != F.col("n")), "broken")
         .when(F.col("users") > F.col("replies"), "missing_reply")
     )
-    return counted, sessions.join(speakers, "session_id", "left").join(nobody, "session_id", "left").select("session_id", reason.alias("reason"))
+    return counted, sessions.join(paths, "session_id", "left").select("session_id", reason.alias("reason"))
 
 
 def dropped_conversations(messages: DataFrame) -> DataFrame:

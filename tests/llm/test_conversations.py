@@ -77,3 +77,12 @@ def test_against_brute_force(spark):
 def test_empty_table(spark):
     df = frame(spark, [(1, None, "k", "user", "CHAT", "x", T0)])
     assert C.dropped_conversations(df).count() == 0 and C.conversations(df.limit(0)).count() == 0
+
+
+def test_the_outcome_of_the_jumping_decides(spark, monkeypatch):
+    rows = [(10 * s + k, s, f"x{k}", "user" if k % 2 == 0 else "ai", "CHAT", "t", T0 + timedelta(minutes=k)) for s in (1, 2) for k in range(4)]
+    assert C.dropped_conversations(frame(spark, rows)).count() == 0
+    real = C.resolve_pointers
+    for junk in ({"state": F.lit("cycle")}, {"root": F.lit(None).cast("bigint")}, {"distance": F.col("distance") + 1}):
+        monkeypatch.setattr(C, "resolve_pointers", lambda *a, j=junk: real(*a).withColumns(j))
+        assert {r.reason for r in C.dropped_conversations(frame(spark, rows)).collect()} == {"broken"}
