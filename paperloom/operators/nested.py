@@ -17,23 +17,83 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _FENCE = re.compile(r"\s*```[A-Za-z0-9_+-]*[ \t]*\r?\n?(.*?)\s*```\s*", re.S)
-#: Decodings of texts inside texts.
-DEEP = 8
+_BLANKS, _FLAT = re.compile(r"[ \t\n\r]*"), re.compile(r'[^\s\[\]{}",:]+')
+
+
+def parse_json(text: str):
+    """``json.loads`` for values of any depth; ValueError for what is no JSON. Deep values are read without recursion."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _parse_deep(text)
+
+
+def _parse_deep(text: str):
+    at, root, stack = 0, [], []  # stack: (container, key); the root is a list of one
+    inside, key, wants = root, None, "value"
+
+    def blanks(i: int) -> int:
+        return _BLANKS.match(text, i).end()
+
+    def put(value) -> None:
+        if isinstance(inside, list):
+            inside.append(value)
+        else:
+            inside[key] = value
+
+    at = blanks(at)
+    while True:
+        c = text[at : at + 1]
+        if wants == "value" or wants == "first" and c != "]":
+            if c in ("{", "["):
+                new = {} if c == "{" else []
+                put(new)
+                stack.append((inside, key))
+                inside, at, wants = new, blanks(at + 1), "key or end" if c == "{" else "first"
+                continue
+            if c == '"':
+                value, at = json.decoder.scanstring(text, at + 1, True)
+            else:
+                word = _FLAT.match(text, at)
+                if not word:
+                    raise ValueError(f"no value at {at}")
+                value, at = json.loads(word[0]), word.end()
+            put(value)
+        elif wants == "key" or wants == "key or end" and c != "}":
+            if c != '"':
+                raise ValueError(f"no key at {at}")
+            key, at = json.decoder.scanstring(text, at + 1, True)
+            at = blanks(at)
+            if text[at : at + 1] != ":":
+                raise ValueError(f"no colon at {at}")
+            at, wants = blanks(at + 1), "value"
+            continue
+        else:  # the container ends here
+            if c != ("}" if isinstance(inside, dict) else "]"):
+                raise ValueError(f"no end at {at}")
+            (inside, key), at = stack.pop(), at + 1
+        at = blanks(at)
+        if inside is root:
+            if at < len(text):
+                raise ValueError(f"extra text at {at}")
+            return root[0]
+        if text[at : at + 1] == ",":
+            at, wants = blanks(at + 1), "key" if isinstance(inside, dict) else "value"
+        else:
+            wants = "end"
 
 
 def whole_value(text: str | None):
     """The JSON value a text holds, or None: a byte order mark and a code fence around it are taken off, and a text
-    that is itself a JSON string of JSON is decoded again. A text that holds no whole value gives None."""
-    for _ in range(DEEP):
-        if not isinstance(text, str):
-            return text
+    that is itself a JSON string of JSON is decoded again, however often. A text that holds no whole value gives None."""
+    while isinstance(text, str):
         text = text.strip("﻿ \t\r\n")
         fenced = _FENCE.fullmatch(text)
         try:
-            text = json.loads(fenced[1].strip("﻿ \t\r\n") if fenced else text)
-        except (ValueError, RecursionError):
+            text = parse_json(fenced[1].strip("﻿ \t\r\n") if fenced else text)
+        except ValueError:
             return None
-    return None
+    return text
 
 
 def plain_name(name: str) -> str:
@@ -126,14 +186,21 @@ def entries(nodes: DataFrame, name: str, under: Column | None = None) -> DataFra
 
 
 def linked(nodes: DataFrame, is_parent: Column, is_child: Column, keys: list[str]) -> DataFrame:
-    """The child nodes with the last parent node that contains them: its columns get the prefix ``parent_``.
+    """The child nodes with the nearest parent node that contains them: its columns get the prefix ``parent_``.
 
-    ``keys`` tell records apart (record_id and row_no at least). One window over the labels of a record: of parents
-    that are not nested in each other, only the last to start before a child can contain it. Children outside every
-    parent give no row.
+    ``keys`` tell records apart (record_id and row_no at least). Parents may be nested in each other: entering one
+    counts up and leaving it down, so a node's count tells the level of its nearest parent, which is the last one of
+    that level to begin before it. Two windows over the labels of a record, one shuffle. Children outside every parent
+    give no row.
     """
     cols = [c for c in nodes.columns if c not in keys]
-    before = Window.partitionBy(*keys).orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
-    held = nodes.withColumn("_o", F.last(F.when(is_parent, F.struct(*cols)), ignorenulls=True).over(before))
-    inside = is_child & (F.col("_o.pre") < F.col("pre")) & (F.col("_o.post") > F.col("post"))
-    return held.filter(inside).select(*keys, *cols, *[F.col(f"_o.{c}").alias(f"parent_{c}") for c in cols])
+    step = lambda at, no, by: F.struct(F.col(at).alias("at"), F.lit(no).alias("no"), F.lit(by).alias("by"))
+    # a node that is both is a child before it is a parent
+    steps = F.filter(F.array(F.when(is_child, step("pre", 0, 0)), F.when(is_parent, step("pre", 1, 1)), F.when(is_parent, step("post", 2, -1))), lambda x: x.isNotNull())
+    walked = nodes.select(*keys, F.struct(*cols).alias("_n"), F.explode(steps).alias("_s"))
+    level = F.sum("_s.by").over(Window.partitionBy(*keys).orderBy("_s.at", "_s.no").rowsBetween(Window.unboundedPreceding, 0))
+    told = walked.withColumn("_l", level).filter("_s.no < 2 and _l > 0")
+    before = Window.partitionBy(*keys, "_l").orderBy("_s.at", "_s.no").rowsBetween(Window.unboundedPreceding, -1)
+    held = told.withColumn("_o", F.last(F.when(F.col("_s.no") == 1, F.col("_n")), ignorenulls=True).over(before))
+    inside = (F.col("_s.no") == 0) & (F.col("_o.pre") < F.col("_n.pre")) & (F.col("_o.post") > F.col("_n.post"))
+    return held.filter(inside).select(*keys, *[F.col(f"_n.{c}").alias(c) for c in cols], *[F.col(f"_o.{c}").alias(f"parent_{c}") for c in cols])

@@ -1,8 +1,9 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from paperloom.operators.nested import linked, node_table, plain_name, walk, whole_value
+from paperloom.operators.nested import _parse_deep, linked, node_table, plain_name, walk, whole_value
 
 
 def test_whole_value_takes_off_wrappings():
@@ -37,5 +38,36 @@ def test_deep_json_and_repeated_rows(spark):
     assert out == [(1, 0, 0, "x"), (1, 0, 0, "x"), (1, 0, 2, "y"), (1, 0, 2, "y"), (1, 2, 0, "z"), (1, 2, 0, "z"), (5, 0, 0, "?")]
 
 
+def test_any_depth_and_any_number_of_quotings(spark):
+    deep = 20_000
+    text = '{"needs":{"targets":["x"]},"more":' + '{"a":[' * deep + "1" + "]}" * deep + "}"
+    quoted = json.dumps({"needs": [{"targets": "q"}]})
+    for _ in range(9):
+        quoted = json.dumps(quoted)
+    df = spark.createDataFrame([(1, text), (2, quoted), (3, text[:-1])], "id bigint, j string")
+    nodes = node_table(df, "id", "j", ["needs", "targets"]).filter("kind not in ('array', 'null')")
+    got = linked(nodes, F.col("name") == "needs", F.col("name") == "targets", ["record_id", "row_no"])
+    assert sorted((r.record_id, r.value) for r in got.collect()) == [(1, "x"), (2, "q")]
+    assert node_table(df.filter("id = 1"), "id", "j").count() == 2 * deep + 5
+
+
+def test_deep_reader_agrees_with_the_plain_one():
+    good = ['{"a": [1, {"b": null}, "x\\"y", [], {}, -1.5e3], "a": true}', "[]", "{}", ' [ [ ] , { "k" : [ 0 ] } ] ', '"s"', "12", "[NaN]"]
+    bad = ["[1,]", "[1 2]", '{"a" 1}', "{1: 2}", "[", '{"a":1,}', "[1]]", "", "[1}", "nope", '{"a":}', "[,]"]
+    for t in good:
+        assert repr(_parse_deep(t)) == repr(json.loads(t))
+    for t in bad:
+        with pytest.raises(ValueError):
+            _parse_deep(t)
+
+
+def test_children_after_a_nested_parent_are_kept(spark):
+    text = '{"needs":[{"targets":["a"],"sub":{"needs":{"targets":"b"}},"later":{"targets":"c"}}],"targets":"outside"}'
+    nodes = node_table(spark.createDataFrame([(1, text)], "id bigint, j string"), "id", "j", ["needs", "targets"]).filter("kind not in ('array', 'null')")
+    got = linked(nodes, (F.col("name") == "needs") & (F.col("kind") == "object"), F.col("name") == "targets", ["record_id", "row_no"])
+    rows = {r.value: r.parent_pre for r in got.collect()}
+    assert set(rows) == {"a", "b", "c"} and rows["a"] == rows["c"] < rows["b"]
+
+
 def test_empty(spark):
     assert node_table(spark.createDataFrame([], "id bigint, j string"), "id", "j").count() == 0
