@@ -110,7 +110,7 @@ def _scalar(value) -> str | None:
 
 
 def walk(value, key: str | None = None) -> Iterator[tuple]:
-    """(pre, post, depth, parent_pre, name, list_pos, kind, value) of every node below a JSON value, by iterative
+    """(pre, post, depth, up_pre, name, list_pos, kind, value) of every node below a JSON value, by iterative
     depth-first walk. An entry of an array has the array's name and its position. An object's or a scalar's list
     position is 0 where it stands alone under a name, so a lone value is a list of one. An object's value is the
     scalar it has directly under ``key``."""
@@ -142,12 +142,12 @@ def walk(value, key: str | None = None) -> Iterator[tuple]:
 
 
 #: Columns of a node table, besides the record's id.
-NODE = "row_no bigint, pre int, post int, depth int, parent_pre int, name string, list_pos int, kind string, value string"
+NODE = "row_no bigint, pre int, post int, depth int, up_pre int, name string, list_pos int, kind string, value string"
 _TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
 
 
 def node_table(df: DataFrame, id_col: str, json_col: str, names: list[str] | None = None, key: str | None = None) -> DataFrame:
-    """(record_id, row_no, pre, post, depth, parent_pre, name, list_pos, kind, value): the nodes of the JSON of every row.
+    """(record_id, row_no, pre, post, depth, up_pre, name, list_pos, kind, value): the nodes of the JSON of every row.
 
     With ``names`` only nodes of those names (however written) are given; their labels are those of the whole walk.
     The root's name is null; an object's value is the scalar under ``key`` in it. ``row_no`` tells rows of one id
