@@ -1,9 +1,9 @@
 """Splitting oversized items at natural boundaries, by dynamic programming over boundary positions.
 
 A cut costs by what stands there (blank line, line break, sentence end, clause, word, bare character) and a piece by
-how far its new text is from an even share; the program takes the cheapest cuts under the limit. A weaker boundary is
-a position of the program only inside a stretch of ``REACH`` characters without a stronger one, so every stretch has
-positions and the program always has a solution.
+how far its new text is from an even share; the program takes the cheapest cuts under the limit. Every boundary is a
+position of the program. Bare characters are no natural boundaries: all of a stretch are positions if it has none in
+``REACH`` characters, so the program always has a solution.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters without a boundary after which weaker ones are allowed.
+from paperloom.operators.nested import parse_json
+
+#: Characters without any boundary after which bare characters are positions, too.
 REACH = 200
 #: What cuts cost, the strongest boundary first, and where each may fall (after the match).
 LEVELS = (
@@ -37,26 +39,25 @@ def boundaries(text: str, fresh: int) -> tuple[np.ndarray, np.ndarray]:
     longest new text of a piece; no two neighbouring positions are farther apart."""
     n = len(text)
     reach = min(REACH, max(1, fresh // 4))
-    cost: dict[int, float] = {}
-    stretches = [(0, n)]
-    for price, pattern in LEVELS:
-        rest = []
-        for a, b in stretches:
-            found = [e for m in pattern.finditer(text, a, b) if a < (e := m.end()) < b]
-            for e in found:
-                cost.setdefault(e, price)
-            ends = [a, *found, b]
-            rest += [(x, y) for x, y in zip(ends, ends[1:]) if y - x > reach]
-        stretches = rest
-    step = max(1, reach // 8)
-    for a, b in stretches:
-        for x in range(a + step, b, step):
-            back = x
-            while x - back < step - 1 and STICKY.match(text, back):
-                back -= 1
-            cost.setdefault(x if STICKY.match(text, back) else back, HARD)
-    at = np.array(sorted(cost), np.int64)
-    return at, np.array([cost[x] for x in at.tolist()])
+    found = [np.array([m.end() for m in pattern.finditer(text)], np.int64) for _, pattern in LEVELS]
+    at = np.concatenate(found)
+    price = np.repeat([p for p, _ in LEVELS], [len(x) for x in found])
+    at, first = np.unique(at, return_index=True)  # of equal positions the first, which is of the strongest level
+    price = price[first]
+    inner = (at > 0) & (at < n)
+    at, price = at[inner], price[inner]
+    ends = np.concatenate(([0], at, [n]))
+    bare = []
+    for k in np.flatnonzero(np.diff(ends) > reach).tolist():
+        a, b = int(ends[k]), int(ends[k + 1])
+        last = a
+        for x in range(a + 1, b):
+            if not STICKY.match(text, x) or x - last >= reach:
+                bare.append(x)
+                last = x
+    at, price = np.concatenate((at, np.array(bare, np.int64))), np.concatenate((price, np.full(len(bare), HARD)))
+    order = np.argsort(at, kind="stable")
+    return at[order], price[order]
 
 
 def split_points(text: str, limit: int = 1200, overlap: int = 100) -> list[tuple[int, int]]:
@@ -70,17 +71,20 @@ def split_points(text: str, limit: int = 1200, overlap: int = 100) -> list[tuple
     at, price = boundaries(text, fresh)
     keep = at >= overlap
     at, price = np.concatenate(([0], at[keep], [n])), np.concatenate(([0.0], price[keep], [0.0]))
+    # a piece's own cost by its length
+    size = 1.0 + 6.0 * (np.arange(limit + 1) / even - 1.0) ** 2
     best, back = np.full(len(at), np.inf), np.zeros(len(at), np.int64)
     best[0] = 0.0
-    low = 0
-    for i in range(1, len(at)):
-        while at[i] - at[low] > (fresh if low else limit):
+    low, places, prices = 0, at.tolist(), price.tolist()
+    for i in range(1, len(places)):
+        x = places[i]
+        while x - places[low] > (fresh if low else limit):
             low += 1
-        size = (at[i] - at[low:i]) / even - 1.0
-        total = best[low:i] + 1.0 + 6.0 * size * size
-        j = int(total.argmin()) if len(total) else 0
-        if len(total) and total[j] < np.inf:
-            best[i], back[i] = total[j] + price[i], low + j
+        if low < i:
+            total = size[x - at[low:i]]
+            total += best[low:i]
+            j = int(total.argmin())
+            best[i], back[i] = total[j] + prices[i], low + j
     if not np.isfinite(best[-1]):
         raise ValueError("no cuts within the limit")
     cuts, i = [n], len(at) - 1
@@ -94,8 +98,8 @@ def split_points(text: str, limit: int = 1200, overlap: int = 100) -> list[tuple
 def items_of(text: str | None, list_key: str, text_key: str) -> Iterator[tuple[str | None, str]]:
     """(id, text) of the items of a JSON text: an array of objects, or an object that has it under ``list_key``."""
     try:
-        value = json.loads(text) if text else None
-    except (ValueError, RecursionError):
+        value = parse_json(text) if text else None
+    except ValueError:
         return
     if isinstance(value, dict):
         value = value.get(list_key)
