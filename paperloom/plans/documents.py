@@ -9,6 +9,7 @@ from paperloom.functions import geometry as G
 from paperloom.functions import text as T
 from paperloom.operators import grounding as N
 from paperloom.operators import layout as L
+from paperloom.operators import reading as D
 from paperloom.operators import rows as R
 from paperloom.operators import units as U
 from paperloom.operators import validation as V
@@ -308,12 +309,12 @@ def doc_violations(spark: SparkSession, folder: str) -> DataFrame:
 
 def doc_read_roles(spark: SparkSession, folder: str) -> DataFrame:
     """Roles and sections of all blocks, told by their lines and what came before."""
-    return U.each_document(blocks(spark, folder), U.roles, "block_id string, role string, section string")
+    return D.read_roles(blocks(spark, folder))
 
 
 def doc_figures(spark: SparkSession, folder: str) -> DataFrame:
     """Captions and the lines that continue them, with their figure numbers."""
-    return U.each_document(blocks(spark, folder), lambda b: U.captions(b).items(), "block_id string, number string")
+    return D.caption_lines(blocks(spark, folder))
 
 
 def doc_regions(spark: SparkSession, folder: str) -> DataFrame:
@@ -338,7 +339,8 @@ def doc_doubtful_regions(spark: SparkSession, folder: str) -> DataFrame:
 
 def doc_math(spark: SparkSession, folder: str) -> DataFrame:
     """How mathematical each block is."""
-    return U.each_document(blocks(spark, folder), lambda b: [(x.block_id, *U.math_profile(x.text)) for x in b], "block_id string, level string, signals int, fragments int, density double")
+    names = ("level", "signals", "fragments", "density")
+    return blocks(spark, folder).select("artifact_id", "block_id", *[c.alias(n) for c, n in zip(D.math_profile(F.col("text")), names)])
 
 
 def doc_physical(spark: SparkSession, folder: str) -> DataFrame:
@@ -418,6 +420,7 @@ def oracle_sql() -> dict[str, str]:
   OR ({letters} >= 4 AND length(t) <= 80 AND {upper} >= ceil({letters} * 0.85) AND len(str_split(t, ' ')) <= 12)))"""
     formula = f"(length(text) <= 220 AND t <> '' AND length(regexp_replace(text, '[^=<>±×÷∑∫√∞≈≤≥^_{{}}\\[\\]|]', '', 'g')) >= 2 AND {letters} / length(text) < 0.68)"
     space = "trim(regexp_replace({}, '\\s+', ' ', 'g'), ' ')"
+    signs = [p.replace("(?![A-Za-z0-9_])", r"\b") for p in D.WORD_SIGNS]
     q = "the citation window drifts over time"
     tokens = "list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{Han}]+|[\\p{Latin}\\p{N}_-]+|[\\p{Greek}\\p{N}]+'), lambda x: length(x) > 1))"
     return {
@@ -442,6 +445,28 @@ SELECT artifact_id, CAST(sum(ups) AS BIGINT) AS ups, round(max(coalesce(ups / nu
         "doc_envelopes": f"WITH {_B} SELECT artifact_id, page, lane, round(min(x), 6) AS x0, round(min(y), 6) AS y0, round(max(x + w), 6) AS x1, round(max(y + h), 6) AS y1 FROM boxed WHERE valid GROUP BY ALL",
         "doc_furniture": f"""WITH {_B}, f AS (SELECT artifact_id, page, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\\d+', '#', 'g'), '[^\\p{{L}}#]+', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS print FROM blocks)
 SELECT artifact_id, sha256(print) AS print, count(DISTINCT page) AS pages, count(*) AS blocks FROM f WHERE print <> '' GROUP BY artifact_id, f.print HAVING count(DISTINCT page) >= 2""",
+        "doc_math": f"""WITH {_B}, w AS (SELECT artifact_id, block_id, regexp_extract_all(text, '\\S+') AS ws, length(regexp_replace(text, '\\s+', '', 'g')) AS ink FROM blocks),
+m AS (SELECT *, {" + ".join(f"len(list_filter(ws, lambda x: regexp_matches(x, '{p}')))" for p in signs)} AS signals, list_filter(ws, lambda x: {" OR ".join(f"regexp_matches(x, '{p}')" for p in signs)}) AS hit,
+  len(regexp_extract_all(array_to_string(list_transform(ws, lambda x: CASE WHEN {" OR ".join(f"regexp_matches(x, '{p}')" for p in signs)} THEN 'S' ELSE 'n' END), ''), 'S+')) AS fragments FROM w),
+d AS (SELECT *, round(CASE WHEN ink > 0 THEN least(1.0, length(array_to_string(hit, '')) / ink) ELSE 0.0 END, 6) AS density FROM m)
+SELECT artifact_id, block_id, CASE WHEN signals >= 4 AND (fragments >= 2 OR density >= 0.12) THEN 'MATH_RICH' WHEN signals > 0 THEN 'LIGHT' ELSE 'NONE' END AS level, CAST(signals AS INTEGER) AS signals, CAST(fragments AS INTEGER) AS fragments, CAST(density AS DOUBLE) AS density FROM d""",
+        "doc_read_roles": f"""WITH {_B}, a AS (SELECT *, trim(text, ' ') AS tt, role IN ('HEADER', 'FOOTER', 'MARGIN_METADATA') AS furniture, {space.format('text')} AS t FROM boxed),
+b AS (SELECT *, last(CASE WHEN NOT furniture THEN lane END IGNORE NULLS) OVER (PARTITION BY artifact_id ORDER BY ord, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lane_before FROM a),
+c AS (SELECT *, sum(CASE WHEN NOT furniture AND (page <> 1 OR lane_before IS DISTINCT FROM lane) THEN 1 ELSE 0 END) OVER (PARTITION BY artifact_id ORDER BY ord, block_id ROWS UNBOUNDED PRECEDING) AS stretch FROM b),
+d AS (SELECT *, NOT furniture AND page = 1 AND max(NOT furniture AND page = 1 AND regexp_matches(tt, '{D.FOOTNOTE}')) OVER (PARTITION BY artifact_id, stretch ORDER BY ord, block_id ROWS UNBOUNDED PRECEDING) AS foot FROM c),
+e AS (SELECT *, NOT furniture AND NOT foot AND role <> 'REFERENCE' AND regexp_matches(tt, '{D.REFERENCES}') AS ref_line FROM d),
+f AS (SELECT *, coalesce(max(ref_line) OVER (PARTITION BY artifact_id ORDER BY ord, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS after_refs FROM e),
+g AS (SELECT *, NOT (furniture OR foot OR after_refs OR ref_line OR role IN ('TITLE', 'AUTHOR', 'REFERENCE')) AS live, regexp_matches(t, '{D.LABEL}') AND regexp_matches(t, '{D.OPERATOR}') AND NOT regexp_matches(t, '{D.MENTION}') AS display,
+  role = 'HEADING' OR ({heading}) OR regexp_matches(tt, '{D.THEOREM}') AS heads, regexp_matches(tt, '{D.KEYWORDS}') AS keywords FROM f),
+h AS (SELECT *, live AND (role = 'ABSTRACT' OR regexp_matches(tt, '{D.ABSTRACT}')) AS opens FROM g),
+i AS (SELECT *, CASE WHEN opens THEN true WHEN foot OR live AND NOT keywords AND (display OR heads) THEN false END AS mark FROM h),
+j AS (SELECT *, coalesce(last(mark IGNORE NULLS) OVER (PARTITION BY artifact_id ORDER BY ord, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS inside FROM i),
+k AS (SELECT *, CASE WHEN furniture THEN role WHEN foot THEN 'MARGIN_METADATA' WHEN after_refs OR role = 'REFERENCE' THEN 'REFERENCE' WHEN ref_line THEN 'HEADING' WHEN role IN ('TITLE', 'AUTHOR') THEN role
+  WHEN opens OR inside AND keywords THEN 'ABSTRACT' WHEN NOT inside AND role IN ('TABLE', 'FIGURE') THEN role WHEN NOT inside AND (role = 'CAPTION' OR regexp_extract(tt, '{D.FIGURE}', 2) <> '' OR regexp_matches(tt, '{D.TABLE}')) THEN 'CAPTION'
+  WHEN NOT inside AND regexp_matches(tt, '{D.FIGURE}') THEN 'BODY' WHEN display THEN 'FORMULA' WHEN heads THEN 'HEADING' WHEN inside THEN 'ABSTRACT'
+  WHEN role = 'FORMULA' OR trim(latex, ' ') <> '' OR ({formula}) AND NOT regexp_matches(tt, '{D.MENTION}') THEN 'FORMULA' ELSE 'BODY' END AS told FROM j)
+SELECT artifact_id, block_id, told AS role, CASE WHEN told IN ('TITLE', 'AUTHOR', 'HEADER', 'FOOTER', 'MARGIN_METADATA') THEN '' ELSE coalesce(last(CASE WHEN told = 'HEADING' THEN tt WHEN opens THEN 'Abstract' END IGNORE NULLS)
+  OVER (PARTITION BY artifact_id ORDER BY ord, block_id ROWS UNBOUNDED PRECEDING), '') END AS section FROM k""",
         "doc_lines": f"""WITH {_B}, c AS (SELECT role, text, {space.format('text')} AS t FROM blocks)
 SELECT role, count(*) AS blocks, count(*) FILTER ({heading}) AS headings, count(*) FILTER ({formula}) AS formulas, count(*) FILTER ({_ENDS.format('text')}) AS sentences FROM c GROUP BY role""",
         "doc_headings": f"""WITH {_B}, f AS (SELECT *, last(CASE WHEN role = 'HEADING' THEN block_id END IGNORE NULLS) OVER (PARTITION BY artifact_id ORDER BY ord, block_id ROWS UNBOUNDED PRECEDING) AS heading_id FROM blocks)
