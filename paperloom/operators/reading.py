@@ -25,14 +25,14 @@ THEOREM = r"(?i)^\s*(?:proof\s+of\s+)?(?:lemma|theorem|proposition|corollary)\s*
 LABEL = r"\(\d{1,4}[a-z]?\)"
 OPERATOR = r"(?i)[=≈≃≤≥<>∑∏√+−]|\b(?:max|min|argmax|argmin)\b"
 MENTION = r"(?i)(?:in|from|using|by|see|shown\s+in|calculated\s+by|given\s+in|equation|eq\.)\s*\(\d{1,4}[a-z]?\)\s*[.,;:]?\s*$"
-#: What makes a word mathematical; each kind counts once a word.
+#: What makes a word mathematical; each kind counts once a word. All of a kind's patterns must be found.
 WORD_SIGNS = (
-    r"[\x{2200}-\x{22FF}\x{27C0}-\x{27EF}\x{2980}-\x{2AFF}±×÷]",
-    r"[\x{370}-\x{3FF}\x{1F00}-\x{1FFF}]",
-    r"[\x{2070}-\x{209F}\x{1D400}-\x{1D7FF}]",
-    r"[A-Za-z0-9][_=^][A-Za-z0-9{]",
-    r"(?:[A-Za-z0-9_]\S*(?:<=|>=|!=|:=|\+=|-=|[=<>±×÷∕])|(?:<=|>=|!=|:=|\+=|-=|[=<>±×÷∕])\S*[A-Za-z0-9_])",
-    r"\$\$|\\(?:frac|sum|prod|mathbb|mathbf|mu|in)(?![A-Za-z0-9_])",
+    (r"[\x{2200}-\x{22FF}\x{27C0}-\x{27EF}\x{2980}-\x{2AFF}±×÷]",),
+    (r"[\x{370}-\x{3FF}\x{1F00}-\x{1FFF}]",),
+    (r"[\x{2070}-\x{209F}\x{1D400}-\x{1D7FF}]",),
+    (r"[A-Za-z0-9][_=^][A-Za-z0-9{]",),
+    (r"<=|>=|!=|:=|\+=|-=|[=<>±×÷∕]", r"[A-Za-z0-9_]"),
+    (r"\$\$|\\(?:frac|sum|prod|mathbb|mathbf|mu|in)\b",),
 )
 #: Lines that continue a caption, one below the other.
 RUN_ON = 5
@@ -45,22 +45,30 @@ def displays_equation(c: Column) -> Column:
 
 
 # ---- mathematics -----------------------------------------------------------------------------------------------------
-def math_profile(c: Column) -> tuple[Column, Column, Column, Column]:
-    """(level, signals, fragments, density) of the mathematics in a text.
+def math_profile(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    """(<keep>, level, signals, fragments, density) of the mathematics in the texts of a column.
 
-    Signals are the signs of all words; words with signs that only up to four spaces and brackets part are one fragment;
-    density is the share of the ink that fragments have. Rich: four signals, and two fragments or a density of 0.12. A
-    null text has none.
+    Signals are the signs of all words; words with signs that only up to four spaces, or two brackets between spaces, part
+    are one fragment; density is the share of the ink that fragments have. Rich: four signals, and two fragments or a
+    density of 0.12. A null text has none. One pass over the words of a text.
     """
-    text = F.coalesce(c, F.lit(""))
-    word = rf"(?<!\S)(?=\S*(?:{'|'.join(WORD_SIGNS)}))\S+"
-    signals = reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(rf"(?<!\S)(?=\S*(?:{s}))\S+")) for s in WORD_SIGNS])
-    found = F.regexp_extract_all(text, F.lit(rf"{word}(?:[\s,;:()\[\]{{}}]{{1,4}}{word})*"), F.lit(0))
-    ink = lambda t: F.length(F.regexp_replace(t, r"\s+", ""))
-    inked = F.aggregate(found, F.lit(0), lambda n, t: n + ink(t))
-    density = F.round(F.when(ink(text) > 0, F.least(F.lit(1.0), inked / ink(text))).otherwise(0.0), 6)
-    rich = (signals >= 4) & ((F.size(found) >= 2) | (density >= 0.12))
-    return F.when(rich, "MATH_RICH").when(signals > 0, "LIGHT").otherwise("NONE"), signals, F.size(found), density
+    text = F.coalesce(column, F.lit(""))
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(text, r"\s{5,}", " \u0001 "), r"\s+", " ")), " ")
+    count = lambda w: reduce(lambda a, b: a + b, [reduce(lambda a, b: a & b, [w.rlike(p) for p in kind]).cast("int") for kind in WORD_SIGNS])
+    told = F.transform(words, lambda w: F.struct(count(w).alias("n"), F.length(w).alias("ink"), w.rlike(r"^[,;:()\[\]{}]{1,2}$").alias("mark")))
+    state = F.struct(F.lit(0).alias("signals"), F.lit(0).alias("inked"), F.lit(0).alias("fragments"), F.lit(False).alias("on"))
+
+    def step(s: Column, x: Column) -> Column:
+        has = x.n > 0
+        return F.struct(
+            (s.signals + x.n).alias("signals"), (s.inked + F.when(has, x.ink).otherwise(0)).alias("inked"),
+            (s.fragments + (has & ~s.on).cast("int")).alias("fragments"), (has | (x.mark & s.on)).alias("on"),
+        )
+
+    m = df.select(*keep, F.aggregate(told, state, step).alias("_m"), F.length(F.regexp_replace(text, r"\s+", "")).alias("_ink"))
+    m = m.select(*keep, "_m.signals", "_m.fragments", F.round(F.when(F.col("_ink") > 0, F.least(F.lit(1.0), F.col("_m.inked") / F.col("_ink"))).otherwise(0.0), 6).alias("density"))
+    rich = (F.col("signals") >= 4) & ((F.col("fragments") >= 2) | (F.col("density") >= 0.12))
+    return m.select(*keep, F.when(rich, "MATH_RICH").when(F.col("signals") > 0, "LIGHT").otherwise("NONE").alias("level"), "signals", "fragments", "density")
 
 
 # ---- captions --------------------------------------------------------------------------------------------------------

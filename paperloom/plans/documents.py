@@ -339,8 +339,7 @@ def doc_doubtful_regions(spark: SparkSession, folder: str) -> DataFrame:
 
 def doc_math(spark: SparkSession, folder: str) -> DataFrame:
     """How mathematical each block is."""
-    names = ("level", "signals", "fragments", "density")
-    return blocks(spark, folder).select("artifact_id", "block_id", *[c.alias(n) for c, n in zip(D.math_profile(F.col("text")), names)])
+    return D.math_profile(blocks(spark, folder), "text", ["artifact_id", "block_id"])
 
 
 def doc_physical(spark: SparkSession, folder: str) -> DataFrame:
@@ -420,7 +419,7 @@ def oracle_sql() -> dict[str, str]:
   OR ({letters} >= 4 AND length(t) <= 80 AND {upper} >= ceil({letters} * 0.85) AND len(str_split(t, ' ')) <= 12)))"""
     formula = f"(length(text) <= 220 AND t <> '' AND length(regexp_replace(text, '[^=<>±×÷∑∫√∞≈≤≥^_{{}}\\[\\]|]', '', 'g')) >= 2 AND {letters} / length(text) < 0.68)"
     space = "trim(regexp_replace({}, '\\s+', ' ', 'g'), ' ')"
-    signs = [p.replace("(?![A-Za-z0-9_])", r"\b") for p in D.WORD_SIGNS]
+    signs = [" AND ".join(f"regexp_matches(x, '{p}')" for p in kind) for kind in D.WORD_SIGNS]
     q = "the citation window drifts over time"
     tokens = "list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{Han}]+|[\\p{Latin}\\p{N}_-]+|[\\p{Greek}\\p{N}]+'), lambda x: length(x) > 1))"
     return {
@@ -446,8 +445,8 @@ SELECT artifact_id, CAST(sum(ups) AS BIGINT) AS ups, round(max(coalesce(ups / nu
         "doc_furniture": f"""WITH {_B}, f AS (SELECT artifact_id, page, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\\d+', '#', 'g'), '[^\\p{{L}}#]+', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS print FROM blocks)
 SELECT artifact_id, sha256(print) AS print, count(DISTINCT page) AS pages, count(*) AS blocks FROM f WHERE print <> '' GROUP BY artifact_id, f.print HAVING count(DISTINCT page) >= 2""",
         "doc_math": f"""WITH {_B}, w AS (SELECT artifact_id, block_id, regexp_extract_all(text, '\\S+') AS ws, length(regexp_replace(text, '\\s+', '', 'g')) AS ink FROM blocks),
-m AS (SELECT *, {" + ".join(f"len(list_filter(ws, lambda x: regexp_matches(x, '{p}')))" for p in signs)} AS signals, list_filter(ws, lambda x: {" OR ".join(f"regexp_matches(x, '{p}')" for p in signs)}) AS hit,
-  len(regexp_extract_all(array_to_string(list_transform(ws, lambda x: CASE WHEN {" OR ".join(f"regexp_matches(x, '{p}')" for p in signs)} THEN 'S' ELSE 'n' END), ''), 'S+')) AS fragments FROM w),
+m AS (SELECT *, {" + ".join(f"len(list_filter(ws, lambda x: {p}))" for p in signs)} AS signals, list_filter(ws, lambda x: {" OR ".join(f"({p})" for p in signs)}) AS hit,
+  len(regexp_extract_all(array_to_string(list_transform(ws, lambda x: CASE WHEN {" OR ".join(f"({p})" for p in signs)} THEN 'S' ELSE 'n' END), ''), 'S+')) AS fragments FROM w),
 d AS (SELECT *, round(CASE WHEN ink > 0 THEN least(1.0, length(array_to_string(hit, '')) / ink) ELSE 0.0 END, 6) AS density FROM m)
 SELECT artifact_id, block_id, CASE WHEN signals >= 4 AND (fragments >= 2 OR density >= 0.12) THEN 'MATH_RICH' WHEN signals > 0 THEN 'LIGHT' ELSE 'NONE' END AS level, CAST(signals AS INTEGER) AS signals, CAST(fragments AS INTEGER) AS fragments, CAST(density AS DOUBLE) AS density FROM d""",
         "doc_read_roles": f"""WITH {_B}, a AS (SELECT *, trim(text, ' ') AS tt, role IN ('HEADER', 'FOOTER', 'MARGIN_METADATA') AS furniture, {space.format('text')} AS t FROM boxed),

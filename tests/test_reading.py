@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from paperloom.operators import reading as D
 
 SCHEMA = "artifact_id bigint, block_id string, page int, ord int, role string, mode string, section string, text string, latex string, x double, y double, w double, h double"
@@ -40,7 +38,6 @@ def test_captions_run_on(spark):
 def test_mathematics(spark):
     texts = ["plain words", "", None, "so α_1 ≤ β^2 and x_i = y", "a=b ( c=d", "a=b words c=d"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    level, signals, fragments, density = D.math_profile(F.col("t"))
-    got = {r.i: tuple(r)[1:] for r in df.select("i", level.alias("l"), signals.alias("s"), fragments.alias("f"), density.alias("d")).collect()}
+    got = {r.i: (r.level, r.signals, r.fragments, r.density) for r in D.math_profile(df, "t", ["i"]).collect()}
     assert got[0] == got[1] == got[2] == ("NONE", 0, 0, 0.0) and got[3][0] == "MATH_RICH"
     assert got[4][1:3] == (4, 1) and got[5][1:3] == (4, 2)
