@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -27,6 +28,8 @@ from paperloom.staging import stage
 TYPO, INITIAL, NICKNAME, SWAPPED, MIDDLE, SHORTENED, ACRONYM, UMLAUT = 0.02, 0.2, 0.1, 0.05, 0.5, 0.3, 0.05, 0.3
 #: Likelihood that a name within reach of a more frequent one is a name of its own.
 OWN = 1e-4
+#: Letters of a surname and a given name that may have a typo; in shorter ones most changes give another name.
+SURNAME, GIVEN = 3, 3
 #: Share of the posterior that the maximum must hold.
 SHARE = 0.5
 #: A nickname is learned from this many surnames, and this share of those it has.
@@ -69,6 +72,7 @@ def deletions(word: str, least: int) -> set[str]:
 
 
 # ---- people ---------------------------------------------------------------------------------------------------------
+@lru_cache(1 << 16)
 def author_readings(name: str) -> list[tuple[str, str, str, float]]:
     """(given, middle initials, surname, weight) as the entry may be meant, the plainest first; none for one word."""
     out = _plain_readings(name)
@@ -113,11 +117,11 @@ def author_keys(readings: list[tuple], nicknames: dict[str, set[str]]) -> tuple[
     """Blocking keys (as a variant, as a candidate) of a form."""
     variant, candidate = set(), set()
     for no, (given, _, surname, _) in enumerate(readings):
-        near = deletions(surname, 5)
+        near = deletions(surname, SURNAME)
         if len(given) == 1:
             variant |= {f"@{x}|{given}" for x in near}
             continue
-        own = {f"a{x}|{given}" for x in near} | {f"b{surname}|{y}" for y in deletions(given, 4)}
+        own = {f"a{x}|{given}" for x in near} | {f"b{surname}|{y}" for y in deletions(given, GIVEN)}
         variant |= own | {f"a{x}|{g}" for g in nicknames.get(given, ()) for x in near}
         if 3 <= len(given) <= SHORT_LETTERS:
             variant.add(f"n{surname}|{given[:BEGINS]}")
@@ -136,7 +140,7 @@ def author_likelihood(variant: list[tuple], candidate: tuple, nicknames: dict[st
     for g, m, s, weight in variant:
         by_nickname = False
         if s != surname:
-            if min(len(s), len(surname)) < 5 or not distance_one(s, surname):
+            if min(len(s), len(surname)) < SURNAME or not distance_one(s, surname):
                 continue
             weight *= TYPO
         if g != given:
@@ -147,7 +151,7 @@ def author_likelihood(variant: list[tuple], candidate: tuple, nicknames: dict[st
             elif given in nicknames.get(g, ()):
                 weight *= NICKNAME
                 by_nickname = True
-            elif min(len(g), len(given)) >= 3 and distance_one(g, given):
+            elif min(len(g), len(given)) >= GIVEN and distance_one(g, given):
                 weight *= TYPO
             elif rarer and s == surname and 3 <= len(g) <= SHORT_LETTERS and len(g) < len(given) and g[:BEGINS] == given[:BEGINS]:
                 weight *= UNLISTED
@@ -163,6 +167,7 @@ def author_likelihood(variant: list[tuple], candidate: tuple, nicknames: dict[st
 
 
 # ---- venues ---------------------------------------------------------------------------------------------------------
+@lru_cache(1 << 16)
 def venue_words(name: str) -> list[str]:
     """The words of a venue: fillers left out, a part after the last comma first, no acronym in brackets at the end and
     no "Proceedings of" before another word that says what it is."""
@@ -179,7 +184,7 @@ def venue_words(name: str) -> list[str]:
 def venue_keys(words: list[str]) -> tuple[set[str], set[str]]:
     """Blocking keys (as a variant, as a candidate): initials, also with any one of them open for a typo."""
     if len(words) < 2:
-        return ({f"v{words[0]}"} if words and 3 <= len(words[0]) <= 9 else set()), set()
+        return ({f"v{words[0]}"} if words and len(words[0]) >= 3 else set()), set()
     initials = "".join(w[0] for w in words)
     open_ = {f"w{initials[:i]}_{initials[i + 1 :]}" for i in range(len(initials))}
     return open_, open_ | {f"v{initials}"}
@@ -242,33 +247,57 @@ def _forms(spellings: DataFrame) -> DataFrame:
     return spellings.mapInPandas(run, "kind string, name string, n bigint, form string")
 
 
-def _keyed(forms: DataFrame, nicknames: dict[str, set[str]]) -> DataFrame:
-    """(kind, form, n, sample, side, key): every blocking key of every form."""
+def _nicknames(fulls: list[str] | None) -> dict[str, set[str]]:
+    """Short forms with what they stand for, from texts "short\\tfull"."""
+    out: dict[str, set[str]] = {}
+    for entry in fulls if fulls is not None else ():
+        short, _, full = entry.partition("\t")
+        out.setdefault(short, set()).add(full)
+    return out
+
+
+def _with_nicknames(forms: DataFrame, nicknames: DataFrame) -> DataFrame:
+    """The forms with ``fulls``, what the given names of their readings may stand for: texts "short\\tfull", or null.
+
+    ``nicknames`` has short and full, folded. Names are joined, so neither the driver nor a task holds them all."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [(form, g) for kind, form, sample in zip(pdf["kind"], pdf["form"], pdf["sample"]) if kind == "author" and not form.startswith("=") for g in {r[0] for r in author_readings(sample)}]
+            yield pd.DataFrame(rows, columns=["form", "short"])
+
+    meant = forms.select("kind", "form", "sample").mapInPandas(run, "form string, short string").join(nicknames, "short")
+    meant = meant.groupBy("form").agg(F.collect_set(F.concat_ws("\t", "short", "full")).alias("fulls")).withColumn("kind", F.lit("author"))
+    return forms.join(meant, ["kind", "form"], "left")
+
+
+def _keyed(forms: DataFrame) -> DataFrame:
+    """(kind, form, n, sample, fulls, total, side, key): every blocking key of every form."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
-            for kind, form, n, sample in pdf[["kind", "form", "n", "sample"]].itertuples(index=False):
+            for kind, form, n, sample, fulls, total in pdf[["kind", "form", "n", "sample", "fulls", "total"]].itertuples(index=False):
                 if form.startswith("="):
                     continue
-                sides = author_keys(author_readings(sample), nicknames) if kind == "author" else venue_keys(venue_words(sample))
-                rows += [(kind, form, n, sample, side, key) for side, keys in enumerate(sides) for key in keys]
-            yield pd.DataFrame(rows, columns=["kind", "form", "n", "sample", "side", "key"])
+                sides = author_keys(author_readings(sample), _nicknames(fulls)) if kind == "author" else venue_keys(venue_words(sample))
+                rows += [(kind, form, n, sample, fulls, total, side, key) for side, keys in enumerate(sides) for key in keys]
+            yield pd.DataFrame(rows, columns=["kind", "form", "n", "sample", "fulls", "total", "side", "key"])
 
-    return forms.mapInPandas(run, "kind string, form string, n bigint, sample string, side int, key string")
+    return forms.mapInPandas(run, "kind string, form string, n bigint, sample string, fulls array<string>, total bigint, side int, key string")
 
 
-def _scored(pairs: DataFrame, nicknames: dict[str, set[str]]) -> DataFrame:
+def _scored(pairs: DataFrame) -> DataFrame:
     """(kind, form, n, target, m, likelihood, short, directed): the pairs whose likelihood isn't 0. ``short``: initials,
     abbreviations and acronyms; ``directed``: a nickname, which points to the full name however frequent either is."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
-            for kind, form, n, sample, target, m, other, rarer in pdf[["kind", "form", "n", "sample", "target", "m", "other", "rarer"]].itertuples(index=False):
+            for kind, form, n, sample, fulls, target, m, other, rarer in pdf[["kind", "form", "n", "sample", "fulls", "target", "m", "other", "rarer"]].itertuples(index=False):
                 if kind == "author":
                     readings = author_readings(sample)
-                    (likelihood, directed), short = author_likelihood(readings, author_readings(other)[0], nicknames, rarer), len(readings[0][0]) == 1
+                    (likelihood, directed), short = author_likelihood(readings, author_readings(other)[0], _nicknames(fulls), rarer), len(readings[0][0]) == 1
                 else:
                     (likelihood, short), directed = venue_likelihood(venue_words(sample), venue_words(other)), False
                 if likelihood > 0:
@@ -281,16 +310,23 @@ def _scored(pairs: DataFrame, nicknames: dict[str, set[str]]) -> DataFrame:
 def learned_nicknames(forms: DataFrame) -> DataFrame:
     """(short, full): given names that stand beside a more frequent one under most of their surnames.
 
-    All surnames teach. Within one, only names with two surnames or more are paired, and only with names that are
-    frequent enough beside them in all: no other pair can be chosen.
+    All surnames teach. A full name must stand beside the short one under ``LEARN_SHARE`` of its surnames, so under at
+    least one of any few more than the rest: pairs are looked for under that many of the short name's narrowest
+    surnames, which loses none and spares the surnames that everybody has, and are then counted under all.
     """
     parts = F.split("form", r"\|")
     people = forms.filter((F.col("kind") == "author") & ~F.col("form").startswith("=")).select(parts[0].alias("g"), parts[2].alias("s"), "n").filter("length(g) > 2")
     people = people.groupBy("g", "s").agg(F.sum("n").alias("n"))
     all_of = people.groupBy("g").agg(F.count("*").alias("surnames"), F.sum("n").alias("total")).filter("surnames >= 2")
-    known = people.join(all_of, "g")
+    known = stage(people.join(all_of, "g"))
+    wide = known.groupBy("s").agg(F.count("*").alias("width"))
+    narrow = Window.partitionBy("g").orderBy("width", "s")
+    enough = F.col("surnames") - F.ceil(F.col("surnames") * LEARN_SHARE) + 1
+    probes = known.join(wide, "s").withColumn("r", F.row_number().over(narrow)).filter(F.col("r") <= enough)
     other = known.select("s", F.col("g").alias("full"), F.col("n").alias("m"), F.col("total").alias("full_total"))
-    pairs = known.join(other, "s").filter((F.col("m") > F.col("n")) & (F.col("total") * RARER < F.col("full_total") * 4))
+    fits = (F.col("m") > F.col("n")) & (F.col("total") * RARER < F.col("full_total") * 4)
+    found = probes.join(other, "s").filter(fits).select("g", "full").distinct()
+    pairs = found.join(known, "g").join(other.drop("full_total"), ["s", "full"]).filter(F.col("m") > F.col("n"))
     seen = pairs.groupBy("g", "full", "surnames").agg(F.count("*").alias("together"))
     often = (F.col("together") >= LEARN_SURNAMES) & (F.col("together") >= LEARN_SHARE * F.col("surnames"))
     alike = (F.col("together") == F.col("surnames")) & (F.col("together") >= 2) & (F.substring("g", 1, 1) == F.substring("full", 1, 1))
@@ -301,25 +337,29 @@ def entities(spellings: DataFrame, name_forms: DataFrame) -> DataFrame:
     """(kind, name, entity): the entity of every distinct spelling.
 
     ``spellings`` has kind (``author`` or ``source``), name and n, its frequency; null names and empty ones must be
-    left out. ``name_forms`` has short_form and full_form of given names; its size and that of what is learned are
-    bounded by the given names people use, not by the rows.
+    left out. ``name_forms`` has short_form and full_form of given names.
     """
     own = stage(_forms(spellings))
     forms = stage(own.groupBy("kind", "form").agg(F.sum("n").alias("n"), F.max_by("name", F.struct("n", "name")).alias("sample")))
-    listed = name_forms.filter("short_form is not null and full_form is not null").select(F.col("short_form").alias("short"), F.col("full_form").alias("full"))
-    nicknames: dict[str, set[str]] = {}
-    for short, full in [*listed.distinct().collect(), *learned_nicknames(forms).collect()]:
-        nicknames.setdefault(folded(short), set()).add(folded(full))
-    keyed = stage(_keyed(forms, nicknames))
-    candidates = keyed.filter("side = 1").select("kind", "key", F.col("form").alias("target"), F.col("n").alias("m"), F.col("sample").alias("other"))
+    fold = F.pandas_udf(lambda names: names.map(folded), "string")
+    listed = name_forms.filter("short_form is not null and full_form is not null").select(fold("short_form").alias("short"), fold("full_form").alias("full"))
+    nicknames = listed.unionByName(learned_nicknames(forms)).distinct()
     # how often each given name occurs, whoever has it
     given = F.when((F.col("kind") == "author") & ~F.col("form").startswith("="), F.substring_index("form", "|", 1))
-    totals = forms.withColumn("given", given).filter("given is not null").groupBy("given").agg(F.sum("n").alias("total"))
-    common = forms.withColumn("given", given).join(totals, "given").select("kind", "form", "total")
-    pairs = keyed.filter("side = 0").join(candidates, ["kind", "key"]).filter("form != target").drop("side", "key").distinct()
-    pairs = pairs.join(common, ["kind", "form"], "left").join(common.select("kind", F.col("form").alias("target"), F.col("total").alias("target_total")), ["kind", "target"], "left")
-    pairs = pairs.withColumn("rarer", F.coalesce(F.col("total") * RARER <= F.col("target_total"), F.lit(False)))
-    scored = stage(_scored(pairs, nicknames))
+    named = forms.withColumn("given", given)
+    totals = named.filter("given is not null").groupBy("given").agg(F.sum("n").alias("total"))
+    keyed = stage(_keyed(_with_nicknames(named.join(totals, "given", "left").drop("given"), nicknames)))
+    candidates = keyed.filter("side = 1").select("kind", "key", F.col("form").alias("target"), F.col("n").alias("m"), F.col("sample").alias("other"), F.col("total").alias("target_total"))
+    rarer = F.coalesce(F.col("total") * RARER <= F.col("target_total"), F.lit(False))
+    # candidates are ranked by frequency: a key of a full spelling leads to more frequent ones only, unless it can be
+    # directed (nicknames, short forms); the keys of unlisted short forms lead to much more frequent given names only
+    upward = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("target") < F.col("form")))
+    free = F.col("key").startswith("@") | F.col("key").startswith("v") | F.col("key").startswith("w") | F.col("fulls").isNotNull()
+    wanted = F.when((F.col("kind") == "author") & F.col("key").startswith("n"), rarer | upward).otherwise(free | upward)
+    pairs = keyed.filter("side = 0").join(candidates, ["kind", "key"]).filter((F.col("form") != F.col("target")) & wanted).withColumn("rarer", rarer)
+    # a pair may share several keys; the rows of one pair are alike but for the key
+    pairs = pairs.drop("side", "key", "total", "target_total").dropDuplicates(["kind", "form", "target"])
+    scored = stage(_scored(pairs))
 
     # first the forms written in full: typos, nicknames and reorderings point to more frequent forms
     best = Window.partitionBy("kind", "form").orderBy(F.desc("posterior"), F.asc("target"))

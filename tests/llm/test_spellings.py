@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from paperloom.llm import spellings as S
@@ -60,3 +62,34 @@ def test_nicknames_are_learned_from_wide_surnames(spark):
     rows += [("author", f"{g}||{s}", n) for s in ("aa", "bb", "cc") for g, n in (("robert", 100), ("bob", 5), ("maria", 6))]
     got = S.learned_nicknames(spark.createDataFrame(rows, "kind string, form string, n bigint"))
     assert {(r.short, r.full) for r in got.collect()} == {("bob", "robert"), ("maria", "robert")}
+
+
+def test_short_names_and_long_acronyms_have_keys():
+    wang, wagn = S.author_readings("Mary Wang"), S.author_readings("Mary Wagn")
+    assert S.author_keys(wagn, {})[0] & S.author_keys(wang, {})[1] and S.author_likelihood(wagn, wang[0], {})[0] > 0
+    ana, anx = S.author_readings("Ana Petrova"), S.author_readings("Anx Petrova")
+    assert S.author_keys(anx, {})[0] & S.author_keys(ana, {})[1]
+    full = "Alpha Beta Gamma Delta Epsilon Zeta Eta Theta Iota Kappa Lambda Mu"
+    initials = "".join(w[0] for w in full.split())
+    assert S.venue_keys(S.venue_words(initials))[0] & S.venue_keys(S.venue_words(full))[1]
+    assert S.venue_likelihood(S.venue_words(initials), S.venue_words(full))[0] > 0
+
+
+def test_nicknames_are_learned_as_if_all_pairs_were_counted(spark):
+    rnd = random.Random(2)
+    surnames = [f"s{i}" for i in range(30)]
+    rows = [(f"{g}||{s}", rnd.randint(1, 3) if g.startswith("short") else rnd.randint(30, 60)) for g in ("shorta", "shortb", "fulla", "fullb", "fullc") for s in surnames if rnd.random() < (0.3 if g.startswith("short") else 0.8)]
+    df = spark.createDataFrame([("author", f, n, f) for f, n in rows], "kind string, form string, n bigint, sample string")
+    by: dict = {}
+    for f, n in rows:
+        g, _, s = f.split("|")
+        by.setdefault(g, {})[s] = n
+    want = set()
+    for g, own in by.items():
+        for full, other in by.items():
+            together = sum(other.get(s, 0) > n for s, n in own.items())
+            if len(own) >= 2 and sum(own.values()) * S.RARER < sum(other.values()) * 4:
+                often = together >= S.LEARN_SURNAMES and together >= S.LEARN_SHARE * len(own)
+                if often or together == len(own) >= 2 and g[0] == full[0]:
+                    want.add((g, full))
+    assert want and {(r.short, r.full) for r in S.learned_nicknames(df).collect()} == want
