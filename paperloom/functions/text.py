@@ -12,9 +12,22 @@ from pyspark.sql.types import StringType
 
 #: Fixed value: a run of one script; tokens are runs of more than one character.
 RUNS = r"[\p{IsHan}]+|[\p{IsLatin}\p{N}_-]+|[\p{IsGreek}\p{N}]+"
-#: A reference to a numbered figure or equation.
-FIGURES = r"(?i)(?:^|[^A-Za-z])fig(?:ure)?s?\.?\s*(\d{1,4})"
-FORMULAS = r"\((\d{1,4}[a-z]?)\)"
+#: A reference to a numbered figure or equation, and the label of a display.
+FIGURES = r"(?i)(?<![A-Za-z0-9_])fig(?:ure)?s?\.?\s*([\dIVX]+[a-z]?)(?![A-Za-z0-9_])"
+FORMULAS = r"(?i)(?:(?:(?<![A-Za-z0-9_])(?:eq(?:uation)?|formula)\.?|公式(?:编号)?|方程(?:式)?(?:编号)?)\s*\(?|\()(\d{1,4}[a-z]?)\)?"
+LABELS = r"\((\d{1,4}[a-z]?)\)"
+#: Latin ligatures and their letters.
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
+def _single_forms() -> tuple[str, str]:
+    """All characters whose compatibility composition is one other character, and those, in order."""
+    pairs = [(chr(i), n) for i in (*range(0x80, 0xD800), *range(0xE000, 0x30000)) if len(n := unicodedata.normalize("NFKC", chr(i))) == 1 and n != chr(i)]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+#: Compatibility forms of single characters (full width, mathematical letters and the like), by Unicode's own rule.
+FORMS, PLAIN = _single_forms()
 #: Shapes of headings and formulas.
 HEADING = r"^(?:(?:[IVXLC]+|\d+(?:\.\d+)*)\.?\s+\p{Lu}.*|(?i:appendix)(?:\s+[A-Z])?\s*.*)$"
 MATH = r"[=<>±×÷∑∫√∞≈≤≥^_{}\[\]|]"
@@ -42,14 +55,38 @@ def collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def unified(c: Column) -> Column:
+    """Compatibility forms of single characters, and Latin ligatures, as plain characters, in the JVM. Other
+    decompositions of more than one character are what ``nfkc`` has beyond that."""
+    plain = F.translate(c, FORMS, PLAIN)
+    apart = plain
+    for one, letters in LIGATURES.items():
+        apart = F.replace(apart, F.lit(one), F.lit(letters))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.when(c.rlike("[ﬀ-ﬆ]"), apart).otherwise(plain)).otherwise(c)
+
+
+def sql_unified(expression: str) -> str:
+    """``unified`` in SQL."""
+    quoted = lambda t: t.replace("'", "''")
+    out = f"translate({expression}, '{quoted(FORMS)}', '{quoted(PLAIN)}')"
+    for one, letters in LIGATURES.items():
+        out = f"replace({out}, '{one}', '{letters}')"
+    return out
+
+
+def sql_pattern(pattern: str) -> str:
+    """A pattern of this module for an engine without looking around but with ASCII word boundaries."""
+    return pattern.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b")
+
+
 def compact(c: Column) -> Column:
-    """Lower-case letters and digits only."""
-    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{Nd}]", "")
+    """Lower-case letters and digits only, compatibility forms as plain ones."""
+    return F.regexp_replace(F.lower(unified(c)), r"[^\p{L}\p{Nd}]", "")
 
 
 def tokens(c: Column) -> Column:
     """Distinct lower-case tokens; a null text has none."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(RUNS), F.lit(0))
+    found = F.regexp_extract_all(F.lower(unified(F.coalesce(c, F.lit("")))), F.lit(RUNS), F.lit(0))
     return F.array_distinct(F.filter(found, lambda t: F.length(t) > 1))
 
 
@@ -61,19 +98,16 @@ def query_coverage(query: Column, query_tokens: Column, text: Column, text_token
     return F.when((q == "") | (t == "") | q.isNull() | t.isNull(), 0.0).when(F.contains(t, q), 1.0).otherwise(F.coalesce(share, F.lit(0.0)))
 
 
-def coverage(query: Column, query_size: Column, text: Column, text_size: Column, matched: Column) -> Column:
-    """Coverage by compact forms and numbers of tokens: 1 if the text contains the query; where a side has no tokens,
-    the length of their common beginning by that of the query, at least 4; else the share of tokens matched. 0 where a
-    side has no letters and digits."""
+def beginning(query: Column, text: Column) -> Column:
+    """The length of the common beginning of two compact forms by that of the query, taken as at least 4; at most 1."""
     places = F.sequence(F.lit(1), F.least(F.length(query), F.length(text)))
     same = F.size(F.filter(places, lambda i: F.substring(query, F.lit(1), i) == F.substring(text, F.lit(1), i)))
-    begin = F.least(F.lit(1.0), same / F.greatest(F.lit(4), F.length(query)))
-    return F.when((query == "") | (text == ""), 0.0).when(F.contains(text, query), 1.0).when((query_size == 0) | (text_size == 0), begin).otherwise(matched / query_size)
+    return F.when((query == "") | (text == ""), 0.0).otherwise(F.least(F.lit(1.0), same / F.greatest(F.lit(4), F.length(query))))
 
 
 def numbers_in(c: Column, pattern: str) -> Column:
-    """Distinct numbers that a pattern's group finds."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(1)))
+    """Distinct numbers, in lower case, that a pattern's group finds."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(1)), F.lower))
 
 
 def fingerprint(c: Column) -> Column:

@@ -1,100 +1,135 @@
 """Lexical retrieval of sources for needs: candidates by an inverted index, scores as columns, fair selection.
 
-A need is compared only with sources that share a key with it (equi-joins), so there is no comparison of all needs with
-all sources. The keys lose no source that can score: tokens; formula and figure numbers; a piece of the need's letters
-and digits, which every text that contains them has; and the first letter where a side has no tokens. A token that half
-of all sources have makes a hot key; the join's sides are pre-aggregated to one row a (need, token) and (source, token),
-and adaptive execution splits what is left of the skew.
+A need is compared only with sources that share a key with it. The keys lose no source that can score: tokens; formula
+and figure numbers; the need itself, looked for in all texts by an automaton over blocks of needs of bounded size; and
+the first letter where a side has no tokens. Texts take no part in the joins: what a pair needs of them is told where
+they are read. A token that half of all sources have makes a hot key; the join's sides have one row a (need, token) and
+(source, token), pairs are summed before they are shuffled, and adaptive execution splits what is left of the skew.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-
-#: Lengths of the pieces by which texts that contain a need are found, longest first; a need has the longest that fits.
-PIECES = (8, 4, 2, 1)
-
-
-def inverted(df: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, token): the distinct tokens of every row."""
-    return df.select(id_col, F.explode(T.tokens(text)).alias("token"))
-
-
-def matched_tokens(needs: DataFrame, sources: DataFrame, need: str, source: str, query: str, text: str, section: str, also: DataFrame | None = None) -> DataFrame:
-    """(need, source, matched bigint, in_section bigint): how many of a need's tokens each source that has any has, in
-    its text and section, and in its section alone; the pairs (need, source) of ``also`` are there even without any."""
-    q = inverted(needs, need, F.col(query))
-    everywhere = sources.select(source, F.explode(T.tokens(F.concat_ws(" ", F.col(text), F.col(section)))).alias("token"))
-    there = sources.select(source, F.explode(T.tokens(F.col(section))).alias("token")).withColumn("s", F.lit(1))
-    both = everywhere.join(there, [source, "token"], "left")
-    pairs = q.join(both, "token").select(need, source, F.lit(1).alias("m"), "s")
-    if also is not None:
-        nothing = F.lit(None).cast("int")
-        pairs = pairs.unionByName(also.select(need, source, nothing.alias("m"), nothing.alias("s")))
-    return pairs.groupBy(need, source).agg(F.count("m").alias("matched"), F.count("s").alias("in_section"))
-
-
-def containing(needs: DataFrame, sources: DataFrame) -> DataFrame:
-    """(need_id, source_id): all pairs whose source contains the need, among others that share a piece with it.
-
-    needs: need_id, q, cq; sources: source_id, t, ct. A need without letters and digits is looked for as it stands. At
-    most twice as many lengths of pieces as ``PIECES`` has reach the driver; only those are taken from the sources.
-    """
-    n = needs.select("need_id", (F.col("cq") == "").alias("raw"), F.when(F.col("cq") == "", F.col("q")).otherwise(F.col("cq")).alias("own"))
-    fitting = F.coalesce(*[F.when(F.length("own") >= size, size) for size in PIECES])
-    n = n.withColumn("size", fitting).withColumn("piece", F.expr("right(own, size)"))
-    pieces = lambda raw, size: F.regexp_extract_all(F.col("t" if raw else "ct"), F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-    out = needs.select("need_id").join(sources.select("source_id").filter("false").withColumn("need_id", F.lit(None).cast("string")), "need_id")
-    for raw, size in sorted((r.raw, r.size) for r in n.select("raw", "size").distinct().collect()):
-        there = sources.select("source_id", F.explode(F.array_distinct(pieces(raw, size))).alias("piece"))
-        mine = n.filter((F.col("raw") == raw) & (F.col("size") == size))
-        out = out.unionByName(mine.join(there, "piece").select("need_id", "source_id"))
+from paperloom.staging import stage
+
+#: Characters of the needs of one automaton.
+AUTOMATON = 4 << 20
+
+
+def _automata(needs: DataFrame) -> Iterator[list[str]]:
+    """The distinct texts to look for, in blocks of at most ``AUTOMATON`` characters (or one text)."""
+    block, size = [], 0
+    for row in needs.toLocalIterator(prefetchPartitions=True):
+        if block and size + len(row[0]) > AUTOMATON:
+            yield block
+            block, size = [], 0
+        block.append(row[0])
+        size += len(row[0])
+    if block:
+        yield block
+
+
+def _finder(block: list[str], columns: list[str]):
+    """An Arrow function over (source_id, page, kind, <columns>): which texts of the block each column has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for text in block:
+            automaton.add_word(text, text)
+        automaton.make_automaton()
+        for batch in batches:
+            own, found, where = [], [], []
+            for k in range(batch.num_rows):
+                for name in columns:
+                    text = batch.column(name)[k].as_py()
+                    hits = {x for _, x in automaton.iter(text)} if text else ()
+                    own += [k] * len(hits)
+                    found += hits
+                    where += [name] * len(hits)
+            head = [batch.column(c).take(pa.array(own, pa.int64())) for c in ("source_id", "page", "kind")]
+            yield pa.RecordBatch.from_arrays([*head, pa.array(found, pa.string()), pa.array(where, pa.string())], names=["source_id", "page", "kind", "found", "place"])
+
+    return run
+
+
+def containing(texts: DataFrame, sources: DataFrame, columns: list[str]) -> DataFrame:
+    """(source_id, page, kind, found, place): every text of ``texts`` (one column, distinct, not empty) that a source has
+    in one of the columns, which is the place. The sources are read once for every block of texts."""
+    kinds = dict(sources.dtypes)
+    schema = f"source_id {kinds['source_id']}, page {kinds['page']}, kind string, found string, place string"
+    out = sources.select("source_id", "page", "kind", F.lit("").alias("found"), F.lit("").alias("place")).filter("false")
+    for block in _automata(texts):
+        out = out.unionByName(sources.select("source_id", "page", "kind", *columns).mapInArrow(_finder(block, columns), schema))
     return out
 
 
-def sharing(needs: DataFrame, sources: DataFrame, need_keys: Column, source_keys: Column) -> DataFrame:
-    """(need_id, source_id): the pairs that have an element of two arrays in common."""
-    return needs.select("need_id", F.explode(need_keys).alias("key")).join(sources.select("source_id", F.explode(source_keys).alias("key")), "key").select("need_id", "source_id")
-
-
 def search(needs: DataFrame, sources: DataFrame, k: int = 50) -> DataFrame:
     """The best ``k`` sources of every need: (need_id, source_id, score, routes, rank).
 
-    needs: need_id, query. sources: source_id, page, kind, text, section. 0.72 of the coverage of the need by the text
+    needs: need_id, query and, if wanted, types (an array of kinds; an empty or null one allows all), first_page and
+    last_page (null: open). sources: source_id, page, kind, text, section. 0.72 of the coverage of the need by the text
     and section; a phrase found as it stands gives 0.96; a formula or figure number that a source of that kind has gives
-    1; coverage c by the section alone gives 0.35 + 0.55 c. Coverage is that of ``text.coverage``. The greatest counts,
-    at most 1; sources of score 0 are left out. Ties go to the lower page, then the lower id. Blank needs find nothing.
+    1; coverage c by the section alone gives 0.35 + 0.55 c. Coverage is that of ``text.coverage``. A need that names
+    formulas and asks for that kind gets only those. The greatest score counts, at most 1; sources of score 0 are left
+    out. Ties go to the lower page, then the lower id. Blank needs find nothing. Compatibility forms are plain ones.
     """
-    n = needs.select("need_id", F.lower(T.collapsed(F.col("query"))).alias("q")).filter("q != ''")
-    sized = n.withColumn("size", F.size(T.tokens(F.col("q")))).withColumn("cq", T.compact(F.col("q")))
-    sized = sized.withColumns({"q_formulas": T.numbers_in(F.col("q"), T.FORMULAS), "q_figures": T.numbers_in(F.col("q"), T.FIGURES)})
-    s = sources.select("source_id", "page", "kind", F.lower(T.collapsed(F.concat_ws(" ", "text", "section"))).alias("t"), F.coalesce("section", F.lit("")).alias("section"), T.numbers_in(F.col("text"), T.FORMULAS).alias("formulas"), T.numbers_in(F.col("text"), T.FIGURES).alias("figures"))
-    s = s.withColumns({"ct": T.compact(F.col("t")), "cs": T.compact(F.col("section")), "t_size": F.size(T.tokens(F.col("t"))), "s_size": F.size(T.tokens(F.col("section")))})  # once a source, not once a pair
-    s = s.withColumn("figures", F.when(F.col("kind") == "FIGURE", F.col("figures")).otherwise(F.array().cast("array<string>"))).drop("section")
-    first = lambda c: F.filter(F.array(F.substring(c, 1, 1)), lambda x: x != "")
-    ct, cs = first("ct"), first("cs")
-    none = F.array().cast("array<string>")
-    others = containing(sized, s)
-    others = others.unionByName(sharing(sized, s, F.col("q_formulas"), F.col("formulas"))).unionByName(sharing(sized, s, F.col("q_figures"), F.col("figures")))
-    others = others.unionByName(sharing(sized.filter("size = 0"), s, first("cq"), F.array_distinct(F.concat(ct, cs))))
-    others = others.unionByName(sharing(sized.filter("size > 0"), s, first("cq"), F.array_distinct(F.concat(F.when(F.col("t_size") == 0, ct).otherwise(none), F.when(F.col("s_size") == 0, cs).otherwise(none)))))
-    hits = matched_tokens(sized.select("need_id", "q"), sources, "need_id", "source_id", "q", "text", "section", others)
-    j = hits.join(sized, "need_id").join(s, "source_id")
-    phrase = F.contains("t", F.col("q"))
-    lexical = T.coverage(F.col("cq"), F.col("size"), F.col("ct"), F.col("t_size"), F.col("matched"))
-    formula = F.arrays_overlap("q_formulas", "formulas")
-    figure = F.arrays_overlap("q_figures", "figures")
-    j = j.withColumns({"phrase": phrase, "lexical": lexical, "formula": formula, "figure": figure, "in_it": T.coverage(F.col("cq"), F.col("size"), F.col("cs"), F.col("s_size"), F.col("in_section"))})
-    score = F.greatest(
-        F.col("lexical") * 0.72, F.when(F.col("phrase"), 0.96).otherwise(0.0), F.when(F.col("formula") | F.col("figure"), 1.0).otherwise(0.0), F.when(F.col("in_it") > 0, 0.35 + 0.55 * F.col("in_it")).otherwise(0.0)
-    )
-    routes = F.array_join(F.array_compact(F.array(F.when(F.col("phrase"), "EXACT_PHRASE").when(F.col("lexical") > 0, "TOKEN_COVERAGE"), F.when(F.col("formula"), "FORMULA_NUMBER"), F.when(F.col("figure"), "FIGURE_NUMBER"), F.when(F.col("in_it") > 0, "SECTION"))), "+")
-    scored = j.select("need_id", "source_id", "page", F.least(score, F.lit(1.0)).alias("full"), routes.alias("routes")).filter("full > 0").withColumn("score", F.round("full", 6))
+    limits = [c for c in ("types", "first_page", "last_page") if c in needs.columns]
+    n = needs.select("need_id", F.lower(T.collapsed(T.unified(F.col("query")))).alias("q"), *limits).filter("q != ''")
+    n = n.withColumns({"tokens": T.tokens(F.col("q")), "cq": T.compact(F.col("q")), "q_formulas": T.numbers_in(F.col("q"), T.FORMULAS), "q_figures": T.numbers_in(F.col("q"), T.FIGURES)})
+    n = stage(n.withColumn("size", F.size("tokens")))
+    s = sources.select("source_id", "page", "kind", T.unified(F.col("text")).alias("text"), T.unified(F.coalesce("section", F.lit(""))).alias("section"))
+    s = s.withColumns({"t": F.lower(T.collapsed(F.concat_ws(" ", "text", "section"))), "cs": T.compact(F.col("section")), "s_tokens": T.tokens(F.col("section"))})
+    numbers = lambda kind, pattern: F.when(F.col("kind") == kind, T.numbers_in(F.col("text"), pattern)).otherwise(F.array().cast("array<string>"))
+    s = s.withColumns({"ct": T.compact(F.col("t")), "t_tokens": T.tokens(F.col("t")), "formulas": numbers("FORMULA", T.LABELS), "figures": numbers("FIGURE", T.FIGURES)})
+    s = stage(s.drop("text", "section"))
+    own, none = ["source_id", "page", "kind"], lambda: {c: F.lit(None) for c in ("token", "in_section", "phrase", "whole", "whole_section", "number", "begins", "section_begins")}
+
+    def hits(df: DataFrame, **said: Column) -> DataFrame:
+        return df.select("need_id", *own, *[said.get(c, v).cast("string" if c == "number" else "double" if "begins" in c else "int").alias(c) for c, v in none().items()])
+
+    index = s.select(*own, "s_tokens", F.explode("t_tokens").alias("token"))
+    index = index.select(*own, "token", F.array_contains("s_tokens", F.col("token")).alias("there"))
+    by_token = hits(n.select("need_id", F.explode("tokens").alias("token")).join(index, "token"), token=F.lit(1), in_section=F.col("there").cast("int"))
+    texts = n.select(F.explode(F.array("q", "cq")).alias("x")).filter("x != ''").distinct()
+    inside = stage(containing(texts, s, ["t", "ct", "cs"]))
+    same = n.select("need_id", "q", "cq")
+    phrases = hits(same.join(inside.filter("place = 't'"), F.col("q") == F.col("found")), phrase=F.lit(1))
+    wholes = hits(same.join(inside.filter("place != 't'"), F.col("cq") == F.col("found")), whole=(F.col("place") == "ct").cast("int"), whole_section=(F.col("place") == "cs").cast("int"))
+    by_number = [
+        hits(n.select("need_id", F.explode(f"q_{what}").alias("key")).join(s.select(*own, F.explode(what).alias("key")), "key"), number=F.lit(route))
+        for what, route in (("formulas", "FORMULA_NUMBER"), ("figures", "FIGURE_NUMBER"))
+    ]
+    # sides without tokens are compared by their beginnings, which share at least the first letter
+    sides = s.select(*own, F.explode(F.array(F.struct(F.lit("begins").alias("side"), F.col("ct").alias("c"), (F.size("t_tokens") == 0).alias("bare")), F.struct(F.lit("section_begins").alias("side"), F.col("cs").alias("c"), (F.size("s_tokens") == 0).alias("bare")))).alias("b"))
+    bare = n.filter("cq != ''").select("need_id", "cq", "size", F.substring("cq", 1, 1).alias("letter")).join(sides.filter("b.c != ''").withColumn("letter", F.substring("b.c", 1, 1)), "letter").filter("size = 0 or b.bare")
+    share = T.beginning(F.col("cq"), F.col("b.c"))
+    begun = hits(bare, begins=F.when(F.col("b.side") == "begins", share), section_begins=F.when(F.col("b.side") != "begins", share))
+    pairs = by_token.unionByName(phrases).unionByName(wholes).unionByName(by_number[0]).unionByName(by_number[1]).unionByName(begun)
+    g = pairs.groupBy("need_id", *own).agg(
+        F.coalesce(F.sum("token"), F.lit(0)).alias("matched"), F.coalesce(F.sum("in_section"), F.lit(0)).alias("matched_there"), F.max("phrase").alias("phrase"), F.coalesce(F.max("whole"), F.lit(0)).alias("whole"),
+        F.coalesce(F.max("whole_section"), F.lit(0)).alias("whole_section"), F.collect_set("number").alias("numbers"), F.max("begins").alias("begins"), F.max("section_begins").alias("section_begins"),
+    ).join(n.select("need_id", "size", "q_formulas", *limits), "need_id")
+    if "types" in limits:
+        exact = F.array_contains("types", "FORMULA") & (F.size("q_formulas") > 0)
+        g = g.filter(F.col("types").isNull() | (F.size("types") == 0) | F.array_contains("types", F.col("kind"))).filter(~F.coalesce(exact, F.lit(False)) | F.array_contains("numbers", "FORMULA_NUMBER"))
+    if "first_page" in limits:
+        g = g.filter(F.coalesce(F.col("page") >= F.col("first_page"), F.lit(True)))
+    if "last_page" in limits:
+        g = g.filter(F.coalesce(F.col("page") <= F.col("last_page"), F.lit(True)))
+    covered = lambda whole, matched, begins: F.greatest(F.col(whole).cast("double"), F.coalesce(F.col(matched) / F.nullif(F.col("size"), F.lit(0)), F.lit(0.0)), F.coalesce(begins, F.lit(0.0)))
+    g = g.withColumns({"lexical": covered("whole", "matched", "begins"), "there": covered("whole_section", "matched_there", "section_begins")})
+    phrase, in_it, number = F.col("phrase").isNotNull(), F.col("there") > 0, F.size("numbers") > 0
+    score = F.greatest(F.col("lexical") * 0.72, F.when(phrase, 0.96).otherwise(0.0), F.when(number, 1.0).otherwise(0.0), F.when(in_it, 0.35 + 0.55 * F.col("there")).otherwise(0.0))
+    named = lambda route: F.when(F.array_contains("numbers", route), route)
+    routes = F.array_join(F.array_compact(F.array(F.when(phrase, "EXACT_PHRASE").when(F.col("lexical") > 0, "TOKEN_COVERAGE"), named("FORMULA_NUMBER"), named("FIGURE_NUMBER"), F.when(in_it, "SECTION"))), "+")
+    scored = g.select("need_id", "source_id", "page", F.round(F.least(score, F.lit(1.0)), 6).alias("score"), routes.alias("routes")).filter("score > 0")
     w = Window.partitionBy("need_id").orderBy(F.desc("score"), F.asc("page"), F.asc("source_id"))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("need_id", "source_id", "score", "routes", "rank")
 

@@ -194,7 +194,7 @@ def doc_references(spark: SparkSession, folder: str) -> DataFrame:
 def doc_families(spark: SparkSession, folder: str) -> DataFrame:
     """Numbered formulas grouped by number without letter: first and last label, members."""
     b = blocks(spark, folder)
-    labels = b.select("artifact_id", F.explode(T.numbers_in(F.concat_ws(" ", "text", "latex"), T.FORMULAS)).alias("label")).distinct()
+    labels = b.select("artifact_id", F.explode(T.numbers_in(F.concat_ws(" ", "text", "latex"), T.LABELS)).alias("label")).distinct()
     return labels.groupBy("artifact_id", F.regexp_extract("label", r"^(\d+)", 1).alias("base")).agg(F.count("*").alias("members"), F.min("label").alias("first_label"), F.max("label").alias("last_label"))
 
 
@@ -421,7 +421,7 @@ def oracle_sql() -> dict[str, str]:
     space = "trim(regexp_replace({}, '\\s+', ' ', 'g'), ' ')"
     signs = [" AND ".join(f"regexp_matches(x, '{p}')" for p in kind) for kind in D.WORD_SIGNS]
     q = "the citation window drifts over time"
-    tokens = "list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{Han}]+|[\\p{Latin}\\p{N}_-]+|[\\p{Greek}\\p{N}]+'), lambda x: length(x) > 1))"
+    tokens = f"list_distinct(list_filter(regexp_extract_all(lower({T.sql_unified('text')}), " + "'[\\p{Han}]+|[\\p{Latin}\\p{N}_-]+|[\\p{Greek}\\p{N}]+'), lambda x: length(x) > 1))"
     return {
         "doc_blocks": f"WITH {_B} SELECT artifact_id, block_id, lane, round(greatest(w, 0) * greatest(h, 0), 8) AS area, valid, w >= 0.005 AND h >= 0.003 AND greatest(w, 0) * greatest(h, 0) <= 0.35 AND h <= 0.60 AS region FROM boxed",
         "doc_roles": f"WITH {_B} SELECT artifact_id, role, count(*) AS blocks, CAST(sum(length(text)) AS BIGINT) AS characters FROM blocks GROUP BY ALL",
@@ -494,8 +494,8 @@ s AS (SELECT artifact_id, block_id, round(0.78 * coalesce(greatest(least(0.6, x
 SELECT artifact_id, block_id, score FROM (SELECT *, max(score) OVER (PARTITION BY artifact_id) AS best FROM s) WHERE score >= 0.28 AND score >= 0.52 * best""",
         "doc_copies": f"""WITH {_B}, k AS (SELECT artifact_id, block_id, confidence, length(text) AS n, 'ev_' || substr(sha256(concat_ws('|', CAST(paper_id AS VARCHAR), {space.format('lower(text)')})), 1, 24) AS key FROM blocks WHERE length(trim(text, ' ')) > 0)
 SELECT artifact_id, block_id, key, count(*) OVER (PARTITION BY key) AS copies, row_number() OVER (PARTITION BY key ORDER BY confidence DESC, n DESC, artifact_id, block_id) = 1 AS kept FROM k""",
-        "doc_references": f"""WITH {_B}, r AS (SELECT paper_id, artifact_id, block_id, 'FIGURE' AS kind, unnest(list_distinct(regexp_extract_all(text, '(?i)(?:^|[^A-Za-z])fig(?:ure)?s?\\.?\\s*(\\d{{1,4}})', 1))) AS number FROM blocks
-  UNION ALL SELECT paper_id, artifact_id, block_id, 'FORMULA', unnest(list_distinct(regexp_extract_all(text, '\\((\\d{{1,4}}[a-z]?)\\)', 1))) FROM blocks)
+        "doc_references": f"""WITH {_B}, r AS (SELECT paper_id, artifact_id, block_id, 'FIGURE' AS kind, unnest(list_distinct(list_transform(regexp_extract_all(text, '{T.sql_pattern(T.FIGURES)}', 1), lambda x: lower(x)))) AS number FROM blocks
+  UNION ALL SELECT paper_id, artifact_id, block_id, 'FORMULA', unnest(list_distinct(list_transform(regexp_extract_all(text, '{T.sql_pattern(T.FORMULAS)}', 1), lambda x: lower(x)))) FROM blocks)
 SELECT paper_id, kind, number, count(*) AS blocks, count(DISTINCT artifact_id) AS artifacts FROM r GROUP BY ALL""",
         "doc_families": f"""WITH {_B}, l AS (SELECT DISTINCT artifact_id, unnest(regexp_extract_all(text || ' ' || latex, '\\((\\d{{1,4}}[a-z]?)\\)', 1)) AS label FROM blocks)
 SELECT artifact_id, regexp_extract(label, '^(\\d+)', 1) AS base, count(*) AS members, min(label) AS first_label, max(label) AS last_label FROM l GROUP BY ALL""",

@@ -154,9 +154,9 @@ def oracle_sql() -> dict[str, str]:
         "txt_titles": f"SELECT id, {title.format('title')} AS title, regexp_replace({title.format('source')}, '\\.$', '') AS source, CASE WHEN year BETWEEN 1900 AND 2099 THEN year END AS year FROM paper",
         "txt_languages": f"""SELECT lower(split_part(lang, '-', 1)) AS given, {lang} AS hint, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS characters
 FROM (SELECT *, length(regexp_replace(text, '[^\\p{{Han}}]', '', 'g')) AS han, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin FROM documents) GROUP BY ALL""",
-        "txt_tokens": """WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{Han}]+|[\\p{Latin}\\p{N}_-]+|[\\p{Greek}\\p{N}]+'), lambda x: length(x) > 1))) AS token FROM documents)
+        "txt_tokens": f"""WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower({T.sql_unified('text')}), '[\\p{{Han}}]+|[\\p{{Latin}}\\p{{N}}_-]+|[\\p{{Greek}}\\p{{N}}]+'), lambda x: length(x) > 1))) AS token FROM documents)
 SELECT token, count(*) AS documents, min(doc_id) AS first_doc FROM t GROUP BY token""",
-        "txt_copies": "WITH k AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{Nd}]', '', 'g') AS key FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY key) AS class_id, count(*) OVER (PARTITION BY key) AS copies FROM k",
+        "txt_copies": f"WITH k AS (SELECT doc_id, regexp_replace(lower({T.sql_unified("coalesce(text, '')")}), '[^\\p{{L}}\\p{{Nd}}]', '', 'g') AS key FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY key) AS class_id, count(*) OVER (PARTITION BY key) AS copies FROM k",
         "txt_identifiers": f"""SELECT doc_kind, count(*) FILTER (regexp_matches(t, '10\\.\\d{{4,9}}/[^\\s"<>]+')) AS doi, count(*) FILTER (regexp_matches(t, '(?i)arxiv[:/\\s]*(?:abs/)?(\\d{{4}}\\.\\d{{4,5}}|[a-z-]+/\\d{{7}})')) AS arxiv,
 count({year}) AS year, min({year}) AS first_year, max({year}) AS last_year FROM {t} GROUP BY doc_kind""",
         "txt_review": f"""WITH s AS (SELECT doc_kind, (CASE WHEN len(regexp_extract_all(t, '(?:^|\\n)(?:\\d+(?:\\.\\d+)*\\s+)?(?:Abstract|Introduction|Appendix|Reading Notes)')) >= 1 THEN 1 ELSE 0 END
