@@ -89,10 +89,10 @@ def search(needs: DataFrame, sources: DataFrame, k: int = 50) -> DataFrame:
     numbers = lambda kind, pattern: F.when(F.col("kind") == kind, T.numbers_in(F.col("text"), pattern)).otherwise(F.array().cast("array<string>"))
     s = s.withColumns({"ct": T.compact(F.col("t")), "t_tokens": T.tokens(F.col("t")), "formulas": numbers("FORMULA", T.LABELS), "figures": numbers("FIGURE", T.FIGURES)})
     s = stage(s.drop("text", "section"))
-    own, none = ["source_id", "page", "kind"], lambda: {c: F.lit(None) for c in ("token", "in_section", "phrase", "whole", "whole_section", "number", "begins", "section_begins")}
+    own, none = ["source_id", "page", "kind"], lambda: {c: F.lit(None) for c in ("token", "in_section", "phrase", "whole", "whole_section", "formula", "figure", "begins", "section_begins")}
 
     def hits(df: DataFrame, **said: Column) -> DataFrame:
-        return df.select("need_id", *own, *[said.get(c, v).cast("string" if c == "number" else "double" if "begins" in c else "int").alias(c) for c, v in none().items()])
+        return df.select("need_id", *own, *[said.get(c, v).cast("double" if "begins" in c else "int").alias(c) for c, v in none().items()])
 
     index = s.select(*own, "s_tokens", F.explode("t_tokens").alias("token"))
     index = index.select(*own, "token", F.array_contains("s_tokens", F.col("token")).alias("there"))
@@ -103,8 +103,8 @@ def search(needs: DataFrame, sources: DataFrame, k: int = 50) -> DataFrame:
     phrases = hits(same.join(inside.filter("place = 't'"), F.col("q") == F.col("found")), phrase=F.lit(1))
     wholes = hits(same.join(inside.filter("place != 't'"), F.col("cq") == F.col("found")), whole=(F.col("place") == "ct").cast("int"), whole_section=(F.col("place") == "cs").cast("int"))
     by_number = [
-        hits(n.select("need_id", F.explode(f"q_{what}").alias("key")).join(s.select(*own, F.explode(what).alias("key")), "key"), number=F.lit(route))
-        for what, route in (("formulas", "FORMULA_NUMBER"), ("figures", "FIGURE_NUMBER"))
+        hits(n.select("need_id", F.explode(f"q_{what}").alias("key")).join(s.select(*own, F.explode(what).alias("key")), "key"), **{what[:-1]: F.lit(1)})
+        for what in ("formulas", "figures")
     ]
     # sides without tokens are compared by their beginnings, which share at least the first letter
     sides = s.select(*own, F.explode(F.array(F.struct(F.lit("begins").alias("side"), F.col("ct").alias("c"), (F.size("t_tokens") == 0).alias("bare")), F.struct(F.lit("section_begins").alias("side"), F.col("cs").alias("c"), (F.size("s_tokens") == 0).alias("bare")))).alias("b"))
@@ -114,24 +114,23 @@ def search(needs: DataFrame, sources: DataFrame, k: int = 50) -> DataFrame:
     pairs = by_token.unionByName(phrases).unionByName(wholes).unionByName(by_number[0]).unionByName(by_number[1]).unionByName(begun)
     g = pairs.groupBy("need_id", *own).agg(
         F.coalesce(F.sum("token"), F.lit(0)).alias("matched"), F.coalesce(F.sum("in_section"), F.lit(0)).alias("matched_there"), F.max("phrase").alias("phrase"), F.coalesce(F.max("whole"), F.lit(0)).alias("whole"),
-        F.coalesce(F.max("whole_section"), F.lit(0)).alias("whole_section"), F.collect_set("number").alias("numbers"), F.max("begins").alias("begins"), F.max("section_begins").alias("section_begins"),
+        F.coalesce(F.max("whole_section"), F.lit(0)).alias("whole_section"), F.max("formula").alias("formula"), F.max("figure").alias("figure"), F.max("begins").alias("begins"), F.max("section_begins").alias("section_begins"),
     ).join(n.select("need_id", "size", "q_formulas", *limits), "need_id")
     if "types" in limits:
         exact = F.array_contains("types", "FORMULA") & (F.size("q_formulas") > 0)
-        g = g.filter(F.col("types").isNull() | (F.size("types") == 0) | F.array_contains("types", F.col("kind"))).filter(~F.coalesce(exact, F.lit(False)) | F.array_contains("numbers", "FORMULA_NUMBER"))
+        g = g.filter(F.col("types").isNull() | (F.size("types") == 0) | F.array_contains("types", F.col("kind"))).filter(~F.coalesce(exact, F.lit(False)) | F.col("formula").isNotNull())
     if "first_page" in limits:
         g = g.filter(F.coalesce(F.col("page") >= F.col("first_page"), F.lit(True)))
     if "last_page" in limits:
         g = g.filter(F.coalesce(F.col("page") <= F.col("last_page"), F.lit(True)))
     covered = lambda whole, matched, begins: F.greatest(F.col(whole).cast("double"), F.coalesce(F.col(matched) / F.nullif(F.col("size"), F.lit(0)), F.lit(0.0)), F.coalesce(begins, F.lit(0.0)))
     g = g.withColumns({"lexical": covered("whole", "matched", "begins"), "there": covered("whole_section", "matched_there", "section_begins")})
-    phrase, in_it, number = F.col("phrase").isNotNull(), F.col("there") > 0, F.size("numbers") > 0
+    phrase, in_it, number = F.col("phrase").isNotNull(), F.col("there") > 0, F.coalesce("formula", "figure").isNotNull()
     score = F.greatest(F.col("lexical") * 0.72, F.when(phrase, 0.96).otherwise(0.0), F.when(number, 1.0).otherwise(0.0), F.when(in_it, 0.35 + 0.55 * F.col("there")).otherwise(0.0))
-    named = lambda route: F.when(F.array_contains("numbers", route), route)
-    routes = F.array_join(F.array_compact(F.array(F.when(phrase, "EXACT_PHRASE").when(F.col("lexical") > 0, "TOKEN_COVERAGE"), named("FORMULA_NUMBER"), named("FIGURE_NUMBER"), F.when(in_it, "SECTION"))), "+")
-    scored = g.select("need_id", "source_id", "page", F.round(F.least(score, F.lit(1.0)), 6).alias("score"), routes.alias("routes")).filter("score > 0")
+    routes = F.array_join(F.array_compact(F.array(F.when(phrase, "EXACT_PHRASE").when(F.col("lexical") > 0, "TOKEN_COVERAGE"), F.when(F.col("formula").isNotNull(), "FORMULA_NUMBER"), F.when(F.col("figure").isNotNull(), "FIGURE_NUMBER"), F.when(in_it, "SECTION"))), "+")
+    scored = g.withColumn("score", F.round(F.least(score, F.lit(1.0)), 6)).filter("score > 0")
     w = Window.partitionBy("need_id").orderBy(F.desc("score"), F.asc("page"), F.asc("source_id"))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("need_id", "source_id", "score", "routes", "rank")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("need_id", "source_id", "score", routes.alias("routes"), "rank")
 
 
 def fair_selection(hits: DataFrame, group: str, need: str, source: str, rank: str, most: int) -> DataFrame:
