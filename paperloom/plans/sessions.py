@@ -156,7 +156,7 @@ def run_durations(spark: SparkSession, folder: str) -> DataFrame:
     """Per tool: calls, mean and longest milliseconds, and how many ran over 5 s."""
     ms = F.timestamp_diff("MILLISECOND", F.col("started_at"), F.col("completed_at"))
     return table(spark, folder, "agent_tool_call").groupBy("tool_name").agg(
-        F.count("*").alias("calls"), F.count_if(ms > 5000).alias("slow"), F.max(ms).alias("longest_ms"), F.sum("attempt_count").alias("attempts")
+        F.count("*").alias("calls"), F.count_if(ms > 5000).alias("slow"), F.round(F.avg(ms), 3).alias("mean_ms"), F.max(ms).alias("longest_ms"), F.sum("attempt_count").alias("attempts")
     )
 
 
@@ -233,7 +233,7 @@ JOIN (SELECT run_id, min(session_id) AS session_id, count(*) AS messages FROM re
   UNION ALL SELECT run_id, 'call', id, started_at FROM agent_tool_call WHERE run_id IS NOT NULL AND started_at IS NOT NULL
   UNION ALL SELECT run_id, 'result', id, completed_at FROM agent_tool_call WHERE run_id IS NOT NULL AND completed_at IS NOT NULL)
 SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY ts, kind, ref) AS event_no, kind, ref FROM f""",
-        "run_durations": """SELECT tool_name, count(*) AS calls, count(*) FILTER (ms > 5000) AS slow, max(ms) AS longest_ms, CAST(sum(attempt_count) AS BIGINT) AS attempts
+        "run_durations": """SELECT tool_name, count(*) AS calls, count(*) FILTER (ms > 5000) AS slow, round(avg(ms), 3) AS mean_ms, max(ms) AS longest_ms, CAST(sum(attempt_count) AS BIGINT) AS attempts
 FROM (SELECT *, (epoch_us(completed_at) - epoch_us(started_at)) // 1000 AS ms FROM agent_tool_call) GROUP BY tool_name""",
         "run_status": "SELECT tool_name, status, error_code, count(*) AS calls, count(DISTINCT run_id) AS runs FROM agent_tool_call GROUP BY ALL",
         "run_idempotency": """SELECT idempotency_key, count(*) AS calls, count(DISTINCT sha256(concat_ws('|', tool_name, coalesce(arguments_json, '')))) AS requests,
