@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.operators.sequences import scan_groups
-from paperloom.operators.units import Block, each_document
+from paperloom.operators.units import LABEL, Block, each_document
 
 #: How far the edges of two locators of one place may differ.
 TOLERANCE = 0.012
@@ -41,16 +41,21 @@ def _shared(a: Block, b: Block) -> float:
 
 
 def physical_copies(blocks: list[Block]) -> list[tuple[str, str]]:
-    """(block_id, kept_id): each block with the block that stands for its place: equal texts that overlap by 0.90, or
-    one place with a text that begins the other over 40 characters. Better confidence, then the longer text, then
+    """(block_id, kept_id): each block with the block that stands for its place: equal texts that overlap by 0.90,
+    displays of one number that overlap by 0.65 whatever their texts, or one place with a text that begins the other over
+    40 characters. Better confidence, then the longer text, then
     reading order decides what is kept; later blocks are compared only with what is kept."""
     bare = {b.block_id: re.sub(r"\W+", "", b.text.lower()) for b in blocks}
     kept: list[Block] = []
     by_text: dict[str, list[Block]] = {}
+    by_number: dict[str, list[Block]] = {}
     out = []
     for b in sorted(blocks, key=lambda b: (-b.confidence, -len(b.text), b.ord)):
         mine = bare[b.block_id]
         near = [k for k in by_text.get(mine, ()) if _shared(b, k) >= 0.90]
+        numbers = set(LABEL.findall(f"{b.text} {b.latex}")) if b.role == "FORMULA" else ()
+        if not near:
+            near = [k for n in numbers for k in by_number.get(n, ()) if _shared(b, k) >= 0.65]
         if not near and len(mine) >= 40:
             near = [k for k in kept if same_place(b, k) and (bare[k.block_id].startswith(mine) or mine.startswith(bare[k.block_id])) and len(bare[k.block_id]) >= 40]
         if near:
@@ -58,6 +63,8 @@ def physical_copies(blocks: list[Block]) -> list[tuple[str, str]]:
         else:
             kept.append(b)
             by_text.setdefault(mine, []).append(b)
+            for n in numbers:
+                by_number.setdefault(n, []).append(b)
             out.append((b.block_id, b.block_id))
     return out
 

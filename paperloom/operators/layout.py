@@ -178,6 +178,11 @@ def structure_violations(parsed: DataFrame) -> DataFrame:
         "element_without_blocks": F.size(F.filter(e, lambda x: F.coalesce(F.size(x["blockIds"]), F.lit(0)) <= 0)),
         "element_page": F.size(F.filter(e, lambda x: (x["page"] < 1) | (x["page"] > F.col("s.pageCount")))),
         "element_blank": F.size(F.filter(e, lambda x: F.coalesce(F.trim(x["content"]), F.lit("")) == "")),
+        "element_type": F.size(F.filter(e, lambda x: F.coalesce(F.trim(x["type"]), F.lit("")) == "")),
+        "element_order": F.size(F.transform(e, lambda x: x["readingOrder"])) - F.size(F.array_distinct(F.transform(e, lambda x: x["readingOrder"]))),
+        "section_without_id": F.size(F.filter(s, lambda x: F.coalesce(x["id"], F.lit("")) == "")),
+        "section_repeated": F.size(F.transform(s, lambda x: x["id"])) - F.size(F.array_distinct(F.transform(s, lambda x: x["id"]))),
+        "section_level": F.size(F.filter(s, lambda x: F.coalesce(x["level"], F.lit(0)) < 1)),
         "section_parent": F.size(F.filter(s, lambda x: (F.coalesce(x["parentId"], F.lit("")) != "") & ~F.exists(s, lambda y: y["id"] == x["parentId"]))),
     }
     found = F.filter(F.array(*[F.struct(F.lit(n).alias("violation"), F.coalesce(c, F.lit(0)).cast("bigint").alias("n")) for n, c in checks.items()]), lambda x: x["n"] > 0)

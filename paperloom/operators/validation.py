@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 CLAIMS = "array<struct<category string, statement string, confidence double, evidenceBlockIds array<string>>>"
 #: Categories of claims; any other becomes the last.
 CATEGORIES = ["METHOD", "RESULT", "SCOPE", "OTHER"]
-#: Entries that a list keeps.
-MOST = 100
 
 
 def parsed_claims(json_col: str, name: str) -> Column:
@@ -18,9 +16,9 @@ def parsed_claims(json_col: str, name: str) -> Column:
     return F.when(F.try_parse_json(json_col).isNotNull(), F.from_json(json_col, f"struct<{name} {CLAIMS}>")[name])
 
 
-def repaired_claims(claims: Column) -> Column:
+def repaired_claims(claims: Column, most: int | None = None) -> Column:
     """Claims with trimmed statements, blank and null ones dropped, categories in capitals and known, confidence within
-    0 and 1 (0.5 where it is missing), evidence ids trimmed and distinct, at most ``MOST``."""
+    0 and 1 (0.5 where it is missing), evidence ids trimmed and distinct; at most ``most``, all by default."""
     kept = F.filter(claims, lambda c: c.isNotNull() & (F.trim(F.coalesce(c["statement"], F.lit(""))) != ""))
 
     def fix(c: Column) -> Column:
@@ -31,11 +29,12 @@ def repaired_claims(claims: Column) -> Column:
             F.least(F.greatest(F.coalesce(c["confidence"], F.lit(0.5)), F.lit(0.0)), F.lit(1.0)).alias("confidence"), ids.alias("evidenceBlockIds"),
         )
 
-    return F.slice(F.transform(kept, fix), 1, MOST)
+    fixed = F.transform(kept, fix)
+    return fixed if most is None else F.slice(fixed, 1, most)
 
 
-def claim_issues(claims: Column) -> Column:
-    """What had to be repaired, as a list of names."""
+def claim_issues(claims: Column, most: int = 100) -> Column:
+    """What had to be repaired, as a list of names; more claims than ``most`` are an issue, too."""
     any_ = lambda test: F.exists(claims, test)
     return F.array_compact(
         F.array(
@@ -44,7 +43,7 @@ def claim_issues(claims: Column) -> Column:
             F.when(any_(lambda c: c.isNotNull() & ~F.coalesce(c["category"].isin(CATEGORIES), F.lit(False))), "CATEGORY"),
             F.when(any_(lambda c: c.isNotNull() & (c["confidence"].isNull() | (c["confidence"] < 0) | (c["confidence"] > 1))), "CONFIDENCE"),
             F.when(any_(lambda c: c.isNotNull() & (F.coalesce(F.size(c["evidenceBlockIds"]), F.lit(0)) <= 0)), "NO_EVIDENCE"),
-            F.when(F.size(claims) > MOST, "TOO_MANY"),
+            F.when(F.size(claims) > most, "TOO_MANY"),
         )
     )
 

@@ -536,6 +536,11 @@ UNION ALL SELECT memory_id, 'element_repeated', count(*) - count(DISTINCT coales
 UNION ALL SELECT memory_id, 'element_without_blocks', count(*) FROM elements WHERE coalesce(len(CAST(e ->> 'blockIds' AS VARCHAR[])), 0) = 0 GROUP BY 1
 UNION ALL SELECT memory_id, 'element_page', count(*) FROM elements WHERE CAST(e ->> 'page' AS INTEGER) < 1 OR CAST(e ->> 'page' AS INTEGER) > pages GROUP BY 1
 UNION ALL SELECT memory_id, 'element_blank', count(*) FROM elements WHERE coalesce(trim(e ->> 'content', ' '), '') = '' GROUP BY 1
+UNION ALL SELECT memory_id, 'element_type', count(*) FROM elements WHERE coalesce(trim(e ->> 'type', ' '), '') = '' GROUP BY 1
+UNION ALL SELECT memory_id, 'element_order', count(*) - count(DISTINCT coalesce(e ->> 'readingOrder', '')) FROM elements GROUP BY 1
+UNION ALL SELECT memory_id, 'section_without_id', count(*) FROM sections WHERE coalesce(x ->> 'id', '') = '' GROUP BY 1
+UNION ALL SELECT memory_id, 'section_repeated', count(*) - count(DISTINCT coalesce(x ->> 'id', '')) FROM sections GROUP BY 1
+UNION ALL SELECT memory_id, 'section_level', count(*) FROM sections WHERE coalesce(CAST(x ->> 'level' AS INTEGER), 0) < 1 GROUP BY 1
 UNION ALL SELECT memory_id, 'section_parent', count(*) FROM sections a WHERE coalesce(x ->> 'parentId', '') <> '' AND NOT EXISTS (SELECT 1 FROM sections b WHERE b.memory_id = a.memory_id AND b.x ->> 'id' = a.x ->> 'parentId') GROUP BY 1)
 SELECT memory_id, violation, n FROM v WHERE n > 0""",
     }

@@ -12,6 +12,8 @@ def test_copies():
     d, e = block(3, long_, at=(0.1, 0.8, 0.3, 0.05)), block(4, long_ + " and on", at=(0.105, 0.8, 0.3, 0.05))
     assert dict(N.physical_copies([a, b, c, d, e])) == {"b00": "b01", "b01": "b01", "b02": "b02", "b03": "b04", "b04": "b04"}
     assert N.physical_copies([]) == []
+    f, g, h = block(5, "x = 1 (3)", role="FORMULA", at=(0.1, 0.1, 0.3, 0.1)), block(6, "X=l (3)", role="FORMULA", at=(0.12, 0.11, 0.3, 0.1), confidence=0.5), block(7, "y (4)", role="FORMULA", at=(0.1, 0.1, 0.3, 0.1), confidence=0.4)
+    assert dict(N.physical_copies([f, g, h])) == {"b05": "b05", "b06": "b05", "b07": "b07"}
 
 
 def test_citations_and_markers():

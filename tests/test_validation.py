@@ -17,7 +17,7 @@ def test_claims(spark):
     assert got[2][0] == ["BLANK_STATEMENT", "CATEGORY", "CONFIDENCE", "NO_EVIDENCE"]
     assert [tuple(c) for c in got[2][1]] == [("OTHER", "t", 1.0, ["a"])]
     assert got[3] == (["MISSING"], None) and got[4] == (["MISSING"], None)
-    assert got[5][0] == ["TOO_MANY"] and len(got[5][1]) == 100
+    assert got[5][0] == ["TOO_MANY"] and len(got[5][1]) == 130
     claims = spark.createDataFrame([(1, 7, ["a", "b", "a"]), (2, 7, []), (3, 8, ["a"])], "claim_id int, p int, ids array<string>")
     known = spark.createDataFrame([(7, "a"), (7, "a"), (7, "b")], "p int, block_id string")
     assert sorted(tuple(r) for r in V.grounded(claims, known, ["p"]).collect()) == [(1, 2, 2), (2, 0, 0), (3, 1, 0)]
