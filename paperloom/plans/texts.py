@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import chunks as C
@@ -10,10 +10,53 @@ from paperloom.functions import metadata as M
 from paperloom.functions import text as T
 from paperloom.session import table
 
-#: Classes of errors by words, the first that fits.
-FAILURES = [("TIMEOUT", ["timeout", "timed out", "deadline"]), ("REQUEST", ["invalid", "malformed", "schema"]), ("NETWORK", ["connection", "refused", "dns"])]
-#: Topics by words.
-TOPICS = [("LAYOUT", ["column split", "glyph box", "reading order"]), ("RETRIEVAL", ["retrieval depth", "query plan"]), ("EVIDENCE", ["evidence span", "claim graph"])]
+#: Classes of errors by words, the first that fits, and those that may be tried again.
+FAILURES = [
+    ("MODEL_TIMEOUT", ["timeout", "timed out"]),
+    ("MODEL_OVERLOADED", ["overloaded", "rate limit", "rate_limit", "429"]),
+    ("CONTEXT_BUDGET_EXCEEDED", ["context_budget_exceeded"]),
+    ("AGENT_CALL_LIMIT", ["model_call_limit_exceeded", "tool_call_limit_exceeded"]),
+    ("TOOL_ROUND_LIMIT", ["max tool", "tool calling round"]),
+    ("TOOL_OUTPUT_OVERSIZE", ["payload limit", "result exceeded"]),
+    ("ANSWER_SUBMISSION_REQUIRED", ["answer_submission_required"]),
+    ("EVIDENCE_SUBMISSION_REQUIRED", ["grounding_submission_required"]),
+    ("EVIDENCE_VALIDATION_FAILED", ["citation", "grounded source", "source was not read"]),
+    ("MODEL_TOOL_CALLING_UNAVAILABLE", ["capability_not_verified", "did_not_call_tool"]),
+    ("MODEL_EMPTY_RESPONSE", ["empty response", "empty direct answer", "空响应"]),
+    ("MODEL_CONNECTION_FAILED", ["connect", "network", "socket"]),
+]
+RETRY = ["MODEL_TIMEOUT", "MODEL_OVERLOADED", "MODEL_EMPTY_RESPONSE", "MODEL_CONNECTION_FAILED"]
+#: Topics by expressions, the first that is found.
+TOPICS = [
+    ("AAoI", r"(?i)\b(?:AAoI|AoI|age of information)\b"),
+    ("Ergodic Rate", r"(?i)\b(?:ergodic[- ]?(?:sum[- ]?)?rate|ergodic performance)\b|遍历(?:和)?速率"),
+    ("Sum Rate", r"(?i)\b(?:sum[- ]?rate|achievable rate|average rate)\b|(?:和|总|可达)速率"),
+    ("Rate Region", r"(?i)\b(?:rate region|rate[- ]?region)\b"),
+    ("Throughput", r"(?i)\b(?:throughput|goodput|effective throughput)\b"),
+    ("Fairness", r"(?i)\b(?:fairness|max[- ]?min|minimum rate)\b"),
+    ("Energy Efficiency", r"(?i)\b(?:energy efficiency|energy[- ]?efficient)\b"),
+    ("Error Probability", r"(?i)\b(?:error probability|block error rate|BLER)\b"),
+    ("Latency", r"(?i)\b(?:latency|delay)\b"),
+    ("Autonomous Driving", r"(?i)\b(?:autonomous driving|autonomous vehicles?)\b"),
+    ("URLLC", r"(?i)\bURLLC\b"),
+    ("Vehicular", r"(?i)\b(?:vehicular|vehicle|V2X)\b"),
+    ("Satellite IoT", r"(?i)\b(?:satellite(?:[- ]based)? IoT|satellite)\b"),
+    ("IoT", r"(?i)\bIoT\b"),
+    ("UAV", r"(?i)\b(?:UAV|drone)\b"),
+    ("RSMA", r"(?i)\bRSMA\b"),
+    ("NOMA", r"(?i)\bNOMA\b"),
+    ("Beamforming", r"(?i)\bbeamforming\b"),
+    ("Power Allocation", r"(?i)\bpower allocation\b"),
+    ("Reinforcement Learning", r"(?i)\breinforcement learning\b"),
+]
+#: What a paper has, and how much prose.
+IDENTIFIER = r"(?i)(?:10\.\d{4,9}/[-._;()/:a-z0-9]+|arxiv\s*:?\s*\d{4}\.\d{4,5}(?:v\d+)?)"
+ABSTRACT = r"(?i)(?:^|\n)\s*(?:abstract|摘要)(?:[^A-Za-z0-9_]|$)"
+SECTIONS = (
+    r"(?im)^[ \t]*(?:\d+(?:\.\d+)*\s+)?(?:introduction|background|preliminaries|method(?:ology)?|approach|system model|proposed method|experiments?|results?|discussion|"
+    r"conclusion|references|引言|背景|预备知识|方法|实验|结果|讨论|结论|参考文献)[ \t]*[:：.]?[ \t]*$"
+)
+PROSE, SHORT_PROSE = 600, 280
 
 
 def docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,24 +97,32 @@ def txt_identifiers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def txt_review(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether a document looks like a paper: sections, references to figures and equations, length, broken lines."""
+    """Whether a document looks like a paper: an identifier; an abstract with a section and some prose; or two sections
+    with more. Short texts without any are none; of the others nothing is sure. Prose is the letters of lines of 40
+    characters and more."""
     t = F.coalesce("text", F.lit(""))
-    sections = F.regexp_count(t, F.lit(r"(?:^|\n)(?:\d+(?:\.\d+)*\s+)?(?:Abstract|Introduction|Appendix|Reading Notes)"))
-    marks = F.regexp_count(t, F.lit(r"(?:Fig|Eq|Sec|Tab)\. \(?\d+"))
-    score = F.when(sections >= 1, 1).otherwise(0) + F.when(marks >= 2, 1).otherwise(0) + F.when(F.length(t) >= 800, 1).otherwise(0)
-    kind = F.when(score >= 2, "PAPER").when(score == 1, "UNCERTAIN").otherwise("NOT_PAPER")
-    return docs(spark, folder).groupBy("doc_kind", kind.alias("review")).agg(F.count("*").alias("documents"))
+    prose = F.aggregate(F.filter(F.split(t, "\n"), lambda line: F.length(line) >= 40), F.lit(0), lambda n, line: n + F.length(F.regexp_replace(line, r"[^\p{L}]", "")))
+    d = docs(spark, folder).select("doc_kind", t.rlike(IDENTIFIER).alias("named"), t.rlike(ABSTRACT).alias("abstract"), F.regexp_count(t, F.lit(SECTIONS.replace("(?im)", "(?imd)"))).alias("sections"), prose.alias("prose"))
+    paper = F.col("named") | (F.col("abstract") & (F.col("sections") >= 1) & (F.col("prose") >= SHORT_PROSE)) | ((F.col("sections") >= 2) & (F.col("prose") >= PROSE))
+    none = ~F.col("abstract") & (F.col("sections") == 0) & (F.col("prose") < SHORT_PROSE)
+    return d.groupBy("doc_kind", F.when(paper, "PAPER").when(none, "NOT_PAPER").otherwise("UNCERTAIN").alias("review")).agg(F.count("*").alias("documents"))
 
 
 def txt_failures(spark: SparkSession, folder: str) -> DataFrame:
-    """Calls by the class of their error, and whether that may be tried again."""
-    c = T.classified(F.col("error_code"), FAILURES, "NONE")
-    return table(spark, folder, "agent_tool_call").groupBy(c.alias("failure")).agg(F.count("*").alias("calls"), F.max(c.isin("TIMEOUT", "NETWORK")).alias("retry"))
+    """Calls by the class of their error, and whether that may be tried again; NONE without an error."""
+    c = F.when(F.col("error_code").isNull(), "NONE").otherwise(T.classified(F.col("error_code"), FAILURES, "AGENT_INTERNAL_ERROR"))
+    return table(spark, folder, "agent_tool_call").groupBy(c.alias("failure")).agg(F.count("*").alias("calls"), F.max(c.isin(RETRY)).alias("retry"))
+
+
+def topic_of(text: Column) -> Column:
+    """The first topic whose expression a text has; OTHER if none."""
+    text = F.coalesce(text, F.lit(""))
+    return F.coalesce(*[F.when(text.rlike(p), name) for name, p in TOPICS], F.lit("OTHER"))
 
 
 def txt_topics(spark: SparkSession, folder: str) -> DataFrame:
-    """Papers by the first topic that their keywords name."""
-    return table(spark, folder, "paper").groupBy(T.classified(F.col("keywords"), TOPICS, "OTHER").alias("topic")).agg(F.count("*").alias("papers"))
+    """Papers by the first topic that their title and keywords name."""
+    return table(spark, folder, "paper").groupBy(topic_of(F.concat_ws(" ", "title", "keywords")).alias("topic")).agg(F.count("*").alias("papers"))
 
 
 def txt_names(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,11 +210,11 @@ SELECT token, count(*) AS documents, min(doc_id) AS first_doc FROM t GROUP BY to
         "txt_copies": f"WITH k AS (SELECT doc_id, regexp_replace(lower({T.sql_unified("coalesce(text, '')")}), '[^\\p{{L}}\\p{{Nd}}]', '', 'g') AS key FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY key) AS class_id, count(*) OVER (PARTITION BY key) AS copies FROM k",
         "txt_identifiers": f"""SELECT doc_kind, count(*) FILTER (regexp_matches(t, '10\\.\\d{{4,9}}/[^\\s"<>]+')) AS doi, count(*) FILTER (regexp_matches(t, '(?i)arxiv[:/\\s]*(?:abs/)?(\\d{{4}}\\.\\d{{4,5}}|[a-z-]+/\\d{{7}})')) AS arxiv,
 count({year}) AS year, min({year}) AS first_year, max({year}) AS last_year FROM {t} GROUP BY doc_kind""",
-        "txt_review": f"""WITH s AS (SELECT doc_kind, (CASE WHEN len(regexp_extract_all(t, '(?:^|\\n)(?:\\d+(?:\\.\\d+)*\\s+)?(?:Abstract|Introduction|Appendix|Reading Notes)')) >= 1 THEN 1 ELSE 0 END
-  + CASE WHEN len(regexp_extract_all(t, '(?:Fig|Eq|Sec|Tab)\\. \\(?\\d+')) >= 2 THEN 1 ELSE 0 END + CASE WHEN length(t) >= 800 THEN 1 ELSE 0 END) AS score FROM {t})
-SELECT doc_kind, CASE WHEN score >= 2 THEN 'PAPER' WHEN score = 1 THEN 'UNCERTAIN' ELSE 'NOT_PAPER' END AS review, count(*) AS documents FROM s GROUP BY ALL""",
-        "txt_failures": f"SELECT failure, count(*) AS calls, max(failure IN ('TIMEOUT', 'NETWORK')) AS retry FROM (SELECT {cases('error_code', FAILURES, 'NONE')} AS failure FROM agent_tool_call) GROUP BY 1",
-        "txt_topics": f"SELECT {cases('keywords', TOPICS, 'OTHER')} AS topic, count(*) AS papers FROM paper GROUP BY 1",
+        "txt_review": f"""WITH s AS (SELECT doc_kind, regexp_matches(t, '{IDENTIFIER}') AS named, regexp_matches(t, '{ABSTRACT}') AS abstract, len(regexp_extract_all(t, '{SECTIONS}')) AS sections,
+  length(regexp_replace(array_to_string(list_filter(str_split(t, chr(10)), lambda x: length(x) >= 40), ''), '[^\\p{{L}}]', '', 'g')) AS prose FROM {t})
+SELECT doc_kind, CASE WHEN named OR abstract AND sections >= 1 AND prose >= {SHORT_PROSE} OR sections >= 2 AND prose >= {PROSE} THEN 'PAPER' WHEN NOT abstract AND sections = 0 AND prose < {SHORT_PROSE} THEN 'NOT_PAPER' ELSE 'UNCERTAIN' END AS review, count(*) AS documents FROM s GROUP BY ALL""",
+        "txt_failures": f"SELECT failure, count(*) AS calls, max(failure IN ({', '.join(repr(x) for x in RETRY)})) AS retry FROM (SELECT CASE WHEN error_code IS NULL THEN 'NONE' ELSE {cases('error_code', FAILURES, 'AGENT_INTERNAL_ERROR')} END AS failure FROM agent_tool_call) GROUP BY 1",
+        "txt_topics": "SELECT CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{name}'" for name, p in TOPICS) + " ELSE 'OTHER' END AS topic, count(*) AS papers FROM (SELECT concat_ws(' ', title, keywords) AS t FROM paper) GROUP BY 1",
         "txt_names": "SELECT trim(lower(regexp_replace(regexp_replace(tool_name, '(\\p{Ll}|\\d)(\\p{Lu})', '\\1 \\2', 'g'), '[^\\p{L}\\p{Nd}]+', ' ', 'g')), ' ') AS words, count(*) AS calls FROM agent_tool_call GROUP BY 1",
         "txt_durations": "SELECT id, CASE WHEN read_seconds >= 3600 THEN format('{}h {:02d}m', read_seconds // 3600, read_seconds % 3600 // 60) ELSE format('{}m', read_seconds % 3600 // 60) END AS reading FROM paper",
         "txt_previews": """SELECT id, CASE WHEN length(c) > 40 THEN substr(c, 1, 39) || '…' ELSE c END AS preview FROM (SELECT id, trim(regexp_replace(coalesce(content, ''), '\\s+', ' ', 'g'), ' ') AS c FROM research_message)""",

@@ -6,9 +6,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.functions import text as T
 from paperloom.operators import retrieval as Q
 from paperloom.operators.nested import walk, whole_value
 from paperloom.plans import lookups as K
+from paperloom.plans import texts as X
 from paperloom.session import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -43,3 +45,12 @@ def test_issues(spark, tmp_path):
     spark.createDataFrame(rows, "id bigint, arguments_json string").withColumn("code", F.lit("clash")).write.parquet(f"{tmp_path}/agent_tool_call.parquet")
     got = sorted((r.call_id, -1 if r.need_no is None else r.need_no, r.code) for r in K.run_issues(spark, str(tmp_path)).collect())
     assert got == [(1, 0, "QUERY_MISSING"), (1, 1, "TARGETS_MISSING"), (2, -1, "TOO_MANY_NEEDS")]
+
+
+def test_topics_and_failures(spark):
+    rows = [("Age of Information in IoT", "AAoI"), ("a drone", "UAV"), (None, "OTHER"), ("soundtracks", "OTHER"), ("系统可达速率", "Sum Rate")]
+    got = [r.t for r in spark.createDataFrame(rows, "x string, want string").select(X.topic_of(F.col("x")).alias("t")).collect()]
+    assert got == [w for _, w in rows]
+    errors = [("Read timed out", "MODEL_TIMEOUT"), ("HTTP 429", "MODEL_OVERLOADED"), ("socket closed", "MODEL_CONNECTION_FAILED"), ("odd", "AGENT_INTERNAL_ERROR")]
+    got = [r.t for r in spark.createDataFrame(errors, "x string, want string").select(T.classified(F.col("x"), X.FAILURES, "AGENT_INTERNAL_ERROR").alias("t")).collect()]
+    assert got == [w for _, w in errors]
