@@ -73,12 +73,13 @@ def _best_exchange(a: list[int], b: list[int], sizes: list[int], fill_a: int, fi
 def empty_bins(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """The bins after the search; never more of them, and none over its capacity."""
     fills = [sum(sizes[i] for i in b) for b in bins]
+    total = sum(fills)  # moves and exchanges keep it
     alive = set(range(len(bins)))
     again = True
     while again:  # an exchange may make room for what was passed by; the squares grow with each, so this ends
         again = False
         for a in sorted(alive, key=lambda b: fills[b]):
-            if capacity * len(alive) - sum(fills[b] for b in alive) < capacity:
+            if capacity * len(alive) - total < capacity:
                 break
             improved = True
             while bins[a] and improved:

@@ -26,6 +26,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: Entries that a worker keeps of pieces, and half as many as of pairs of tokens.
 MEMORY = 1 << 18
+#: Characters of the pieces that a worker remembers.
+LENGTH = 1 << 24
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -178,13 +180,22 @@ class Encoder:
         self.vocabulary = Vocabulary(path)
         self.cut = regex.compile(pattern)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.length = 0
+
+    def _room(self, pieces: int, length: int) -> bool:
+        """Whether so many new pieces of that length in all are kept beside the known ones, which else are forgotten."""
+        if len(self.known) + pieces > MEMORY or self.length + length > LENGTH:
+            self.known.clear()
+            self.length = 0
+            return False
+        return True
 
     def piece(self, piece: str) -> tuple[int, ...]:
         """The ids of one piece."""
         ids = self.known.get(piece)
         if ids is None:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
+            self._room(1, len(piece))
+            self.length += len(piece)
             ids = self.known[piece] = tuple(Prefixes(self.vocabulary, piece.encode()).ids())
         return ids
 
@@ -197,9 +208,9 @@ class Encoder:
         """``parts`` of many texts: new pieces are sorted, and each goes on from the prefix it shares with the last."""
         cuts = [self.cut.findall(x or "") for x in texts]
         new = set().union(*cuts).difference(self.known)
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
+        if not self._room(len(new), sum(map(len, new))):
             new = set().union(*cuts)
+        self.length += sum(map(len, new))
         table = Prefixes(self.vocabulary)
         for data in sorted(x.encode() for x in new):
             self.known[data.decode()] = tuple(table.become(data).ids())
