@@ -1,5 +1,6 @@
 import base64
 import os
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -99,3 +100,16 @@ def test_containers(spark):
     total = sum(n for _, n in rows if n)
     assert sum(fills.values()) == total and len(fills) <= -(-total // 10) + 9  # one a group
     assert K.fill_containers(df.limit(0), "doc_id", "n", 10).count() == 0
+
+
+def test_both_cuts_agree():
+    own = T.encoder(T.vocabulary_path())
+    rnd = random.Random(9)
+    alphabet = "ab'st  \n\t\x0b\x1c\x85\xa0 中文ไทยé́٣①²ⅷ—·!﻿​<|endoftext|>1290"
+    for _ in range(300):
+        text = "".join(rnd.choice(alphabet) for _ in range(60))
+        assert own.plain.findall(text) == own.cut.findall(text)
+        assert own.pieces(text + "𝒙") == own.cut.findall(text + "𝒙")
+    for code in (*range(0x300), *range(0x2000, 0x2100), *range(0xFB00, 0xFE00, 7)):
+        text = f"a{chr(code)}1 {chr(code)}{chr(code)} b"
+        assert own.plain.findall(text) == own.cut.findall(text)
