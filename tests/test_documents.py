@@ -122,4 +122,4 @@ def test_structure_violations(spark):
     s = json.dumps({"pageCount": 2, "sections": [{"id": "s1", "parentId": "zz"}], "elements": [{"id": "e", "page": 3, "content": " ", "blockIds": []}, {"id": "e", "page": 1, "content": "x", "blockIds": ["b"]}]})
     df = spark.createDataFrame([(1, 1, s), (2, 1, None), (3, 1, "{")], "id bigint, paper_id bigint, structure_json string")
     got = {r.violation: r.n for r in L.structure_violations(L.structures(df)).collect()}
-    assert got == {"element_repeated": 1, "element_without_blocks": 1, "element_page": 1, "element_blank": 1, "section_parent": 1}
+    assert got == {"element_repeated": 1, "element_without_blocks": 1, "element_page": 1, "element_blank": 1, "section_parent": 1, "element_type": 2, "element_order": 1, "section_level": 1}
