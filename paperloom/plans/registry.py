@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of ``paperloom.plans`` that have queries.
-MODULES = ["hierarchy", "nested", "library", "sessions", "quality", "documents", "retrieval", "texts", "lookups", "anchors", "streams"]
+MODULES = ["hierarchy", "nested", "library", "sessions", "quality", "documents", "retrieval", "texts", "lookups", "anchors", "writes", "streams"]
 
 
 def queries() -> dict:
