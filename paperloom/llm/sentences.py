@@ -111,7 +111,7 @@ _WRAPPED_NOTE = regex.compile(rf"\r?\n\[\s?\d(?:[\d\s,;，、–-]{{0,24}}\d)?\s
 _NOTES = re.compile(r"(?:\[\s?\d(?:[\d\s,;，、–-]{0,24}\d)?\s?\])+$")
 _WORD = regex.compile(rf"{_PART}(?:(?:{_PART}|['’.-])*{_PART})?$", regex.V1)
 _LAST = regex.compile(_PART, regex.V1)
-_BEFORE = regex.compile(r"([\p{L}\p{M}\p{N}'’-]+)[\s.]*$")
+_MARK = regex.compile(r"\p{M}")
 _MIXED = regex.compile(r"\p{Ll}+[\p{Lu}\p{Nd}]")
 _SPACE = re.compile(r"\s*")
 _DIGITS = re.compile(r"\d{1,3}")
@@ -136,6 +136,17 @@ def _starts(text: str, at: int) -> bool:
     return _MIXED.match(text, at) is not None
 
 
+def _word_before(text: str, lo: int, at: int) -> tuple[str, bool] | None:
+    """(word, whether a full stop follows it): the last word of text[lo:at], white space and full stops after it aside."""
+    i = at
+    while i > lo and (text[i - 1] == "." or text[i - 1].isspace()):
+        i -= 1
+    j = i
+    while j > lo and ((c := text[j - 1]).isalnum() or c in "'’-" or c > "\u02ff" and _MARK.match(c)):
+        j -= 1
+    return (text[j:i], "." in text[i:at]) if j < i else None
+
+
 def _full_stop(text: str, at: int, after: int, item: bool = False) -> bool:
     """Whether the single full stop at ``at`` can end a sentence, given that something that can begin one stands at
     ``after``; ``item`` if that is a list item's mark."""
@@ -154,8 +165,8 @@ def _full_stop(text: str, at: int, after: int, item: bool = False) -> bool:
     if word.isdigit():
         if not (c.isalpha() and c.isupper()):
             return True
-        before = _BEFORE.search(text[max(0, before_at - 16) : before_at])
-        return not (before and before[1].lower() in ORDINAL)
+        before = _word_before(text, max(0, before_at - 16), before_at)
+        return not (before and before[0].lower() in ORDINAL)
     if low in MAY:
         if low == "al":
             return item or not (c in "(（" and after + 1 < len(text) and text[after + 1].isdigit())
@@ -164,9 +175,9 @@ def _full_stop(text: str, at: int, after: int, item: bool = False) -> bool:
         return False
     if len(word) == 1 and word.isalpha():
         if word.isupper():
-            before = _BEFORE.search(text[max(0, before_at - 20) : before_at])
+            before = _word_before(text, max(0, before_at - 20), before_at)
             # a label with a full stop of its own must be an abbreviation, else a sentence ended there
-            return before is not None and (label := before[1].lower()) in LABELS and ("." not in before[0] or label in NUMBERED)
+            return before is not None and (label := before[0].lower()) in LABELS and (not before[1] or label in NUMBERED)
         if word.islower():
             return low not in LETTERS or (low in "дп" and text[max(0, before_at - 3) : before_at].startswith("т."))
         return bool(_IS_CJK.match(word))
@@ -424,7 +435,13 @@ def _label_start(text: str, at: int) -> int:
     p = at
     while p and text[p - 1].isspace():
         p -= 1
-    if p and text[p - 1] in _LABEL_ENDS and (m := _LABEL.search(text, max(0, at - 96), at)):
+    if not p or (c := text[p - 1]) not in _LABEL_ENDS:
+        return p
+    before = text[p - 2 : p - 1] if p > 1 else ""
+    # a number comes before a full stop or a comma, a number or a letter before a bracket
+    if c in ".．、" and not before.isdigit() or c in ")）" and not before.isalnum():
+        return p
+    if m := _LABEL.search(text, max(0, at - 96), at):
         p = m.start()
         while p and text[p - 1].isspace():
             p -= 1
