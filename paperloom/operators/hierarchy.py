@@ -76,9 +76,13 @@ def _cycles(unprocessed: DataFrame) -> DataFrame:
     become no fewer; the smallest id on the way round is found once no row's changes any more.
     """
     now, targets = unprocessed, None
-    while True:
-        table = now.select(F.col("id").alias("t"), F.col("to").alias("t_to"), F.col("least").alias("t_least"))
-        moved, changed = _counted(now.join(table, F.col("to") == F.col("t")).select("id", F.col("t_to").alias("to"), F.least("least", "t_least").alias("least"), (F.col("t_least") < F.col("least")).alias("changed")), "changed")
+
+    def doubled(df: DataFrame) -> DataFrame:
+        table = df.select(F.col("id").alias("t"), F.col("to").alias("t_to"), F.col("least").alias("t_least"))
+        return df.join(table, F.col("to") == F.col("t")).select("id", F.col("t_to").alias("to"), F.least("least", "t_least").alias("least"), (F.col("t_least") < F.col("least")).alias("changed"))
+
+    while True:  # two doublings a staged round
+        moved, changed = _counted(doubled(doubled(now)), "changed")
         many = moved.select("to").distinct().count()
         if many == targets and not changed:
             break
@@ -154,9 +158,13 @@ def _ranges(nodes: DataFrame, order: list[str]) -> DataFrame:
     now, left = _counted(
         nodes.select("id", F.col("parent").alias("to")).join(_offsets(nodes.select("id", "parent", "size", *order), order), "id").select("id", "to", F.col("offset").alias("lft")), "to is not null"
     )
-    while left:
-        table = now.select(F.col("id").alias("t"), F.col("to").alias("t_to"), F.col("lft").alias("t_lft"))
-        after, left = _counted(now.join(table, F.col("to") == F.col("t"), "left").select("id", F.col("t_to").alias("to"), (F.col("lft") + F.coalesce("t_lft", F.lit(0))).alias("lft")), "to is not null")
+
+    def doubled(df: DataFrame) -> DataFrame:
+        table = df.select(F.col("id").alias("t"), F.col("to").alias("t_to"), F.col("lft").alias("t_lft"))
+        return df.join(table, F.col("to") == F.col("t"), "left").select("id", F.col("t_to").alias("to"), (F.col("lft") + F.coalesce("t_lft", F.lit(0))).alias("lft"))
+
+    while left:  # two doublings a staged round
+        after, left = _counted(doubled(doubled(now)), "to is not null")
         unstage(now)
         now = after
     return now.select("id", "lft")
