@@ -13,7 +13,7 @@ from paperloom.plans import registry
 
 FOLDER = "/root/testdata/sf0.01"
 #: Rows that a query may shuffle.
-LIMIT = {"ret_search": 4_000}
+LIMIT = dict.fromkeys("ret_search ret_metrics".split(), 4_000)
 TOKEN = re.compile(r"[a-z0-9_-]+")
 
 
