@@ -13,7 +13,7 @@ from paperloom.plans import registry
 
 FOLDER = "/root/testdata/sf0.01"
 #: Rows that a query may shuffle.
-LIMIT = dict.fromkeys("ret_search ret_metrics ret_typed ret_targets ret_selected ret_labels".split(), 4_000)
+LIMIT = dict.fromkeys("ret_search ret_metrics ret_typed ret_targets ret_selected ret_labels ret_second_page".split(), 4_000)
 TOKEN = re.compile(r"[a-z0-9_-]+")
 
 
