@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.operators.nested import _parse_deep, linked, node_table, plain_name, walk, whole_value
+from paperloom.operators.nested import _parse_deep, linked, node_table, objects_with_lists, plain_name, walk, whole_value
 
 
 def test_whole_value_takes_off_wrappings():
@@ -71,3 +71,10 @@ def test_children_after_a_nested_parent_are_kept(spark):
 
 def test_empty(spark):
     assert node_table(spark.createDataFrame([], "id bigint, j string"), "id", "j").count() == 0
+
+
+def test_objects_with_lists_take_the_nearest_object_around(spark):
+    texts = ['{"needs": [{"query": "a", "targets": ["x", null, 2], "content_types": "TEXT"}, {"Query": "b", "in": {"needs": {"query": "c", "targets": ["y"]}}, "targets": ["z"]}, 5], "targets": ["out"]}', "damaged {", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    got = [tuple(r) for r in objects_with_lists(df, "t", "needs", "query", ["targets", "contentTypes"]).collect()]
+    assert sorted(got) == [(0, 0, "a", ["x", "2"], ["TEXT"]), (0, 0, "c", ["y"], []), (0, 1, "b", ["z"], [])]

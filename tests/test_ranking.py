@@ -132,3 +132,14 @@ def test_pairs_are_not_shuffled(spark, name):
     before = shuffled(spark)
     registry.queries()[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
     assert shuffled(spark) - before < LIMIT[name]
+
+
+@pytest.mark.parametrize("shared", [2, 1000])
+@pytest.mark.parametrize("expanded", [5, 1 << 20])
+def test_groups_and_own_rows_give_the_best_of_all_pairs(small_chunks, monkeypatch, shared, expanded):
+    monkeypatch.setattr(ranking, "SHARED", shared)
+    monkeypatch.setattr(ranking, "EXPANDED", expanded)
+    needs, rows = made(11)
+    got = matched(needs, rows, 4)
+    for i, (_, *need) in enumerate(needs):
+        assert [(x["source_id"], x["score"], named(x["routes"])) for x in got if x["req"] == i] == brute(*need, rows, 4), need

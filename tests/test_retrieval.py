@@ -1,4 +1,5 @@
 from paperloom.operators import retrieval as Q
+from paperloom.plans import registry
 
 SOURCES = [
     ("a", 1, "TEXT", "这是深度学习模型的方法", "Intro"), ("b", 2, "FORMULA", "x = y (7)", ""), ("c", 3, "TEXT", "thresholding noisefloor", "Methods"),
@@ -27,3 +28,13 @@ def test_texts_without_tokens_by_their_beginning(spark):
     assert found(spark, "мост") == [("e", 0.36, "TOKEN_COVERAGE")]
     assert {s for s, _, _ in found(spark, "x")} == {"b"}
     assert found(spark, " ") == []
+
+
+def test_typed_search_has_the_needs_of_all_calls(spark, tmp_path):
+    need = '{"needs": [{"query": "noise floor", "contentTypes": ["TEXT"]}]}'
+    calls = spark.createDataFrame([(1, "r", need), (20, "r", need), (39, "r", need)], "id bigint, run_id string, arguments_json string")
+    blocks = '[{"id": "b", "page": 1, "role": "PARAGRAPH", "text": "the noise floor"}]'
+    calls.write.parquet(f"{tmp_path}/agent_tool_call.parquet")
+    spark.createDataFrame([(7, 1, 1, blocks)], "id bigint, paper_id bigint, page_count int, blocks_json string").write.parquet(f"{tmp_path}/paper_layout_artifact.parquet")
+    assert {r.need_id for r in registry.queries()["ret_typed"](spark, str(tmp_path)).collect()} == {"1-0", "20-0", "39-0"}
+    assert "id % 20" not in registry.oracle_sql()["ret_typed"]
